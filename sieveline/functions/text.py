@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,9 @@ def code_pieces(c) -> Column:
 
 
 def _blank_out(piece: Column) -> Column:
-    return F.regexp_replace(piece, r"[^\n]", " ")
+    return F.when(piece.contains("\n"), F.regexp_replace(piece, r"[^\n]", " ")).otherwise(
+        F.repeat(F.lit(" "), F.length(piece))
+    )
 
 
 def _is_comment(piece: Column) -> Column:
@@ -93,9 +97,15 @@ def count_occurrences(c, needle: str) -> Column:
     return F.coalesce((cut / F.lit(len(needle))).cast("int"), F.lit(0))
 
 
-def line_hits(lines, pattern: str) -> Column:
-    """Numbers of the lines in which the pattern is found."""
-    numbered = F.transform(_col(lines), lambda line, i: F.when(line.rlike(pattern), i + 1))
+def line_hits(lines, pattern: str, low_lines=None, probes=()) -> Column:
+    """Numbers of the lines in which the pattern is found. With ``probes`` only lines whose lower-cased form holds one
+    of these substrings are tried."""
+    if probes:
+        numbered = F.transform(_col(low_lines), lambda low, i: F.when(
+            reduce(lambda a, b: a | b, [low.contains(p) for p in probes])
+            & F.element_at(_col(lines), i + 1).rlike(pattern), i + 1))
+    else:
+        numbered = F.transform(_col(lines), lambda line, i: F.when(line.rlike(pattern), i + 1))
     return F.filter(numbered, lambda n: n.isNotNull())
 
 

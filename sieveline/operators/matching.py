@@ -53,7 +53,7 @@ def _rule_lines(rule: Rule) -> Column:
     """Distinct line numbers of one rule in one text; texts without a probe word skip the regex."""
     parts = []
     if rule.scope in ("line", "both"):
-        parts.append(T.line_hits(f"lines_{rule.view}", rule.pattern))
+        parts.append(T.line_hits(f"lines_{rule.view}", rule.pattern, f"low_lines_{rule.view}", rule.probes))
     if rule.scope in ("text", "both"):
         parts.append(T.match_start_lines(f"v_{rule.view}", rule.pattern))
     lines = parts[0] if len(parts) == 1 else F.array_distinct(F.concat(*parts))
@@ -75,7 +75,8 @@ def _staged(files: DataFrame, rules, keys, in_scope, extra_views=()):
         *[F.lower(f"v_{v}").alias(f"low_{v}") for v in probed],
         *[T.split_lines(f"v_{v}").alias(f"lines_{v}") for v in line_views],
     )
-    return rules, staged
+    low_lines = [v for v in line_views if v in probed]
+    return rules, staged.select("*", *[T.split_lines(f"low_{v}").alias(f"low_lines_{v}") for v in low_lines])
 
 
 def _measures(limits: dict[str, int]) -> Column:

@@ -28,7 +28,7 @@ _NOT_A_TYPE = (
 )
 _NOT_A_NAME = r"(?!(?:if|for|while|switch|catch|synchronized|super|this|try|return|new)\b)"
 _METHOD = (
-    r"(?<![\w$.@])"
+    r"(?=[A-Za-z_$@<])(?<![\w$.@])"
     rf"(?:@[\w.]++(?:\s*+{_PARENS})?\s++|(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s++)*+"
     r"(?:<[^(){};=]*?>\s*+)?"
     rf"{_NOT_A_TYPE}[A-Za-z_$][\w$.]*+(?:\s*+<[^(){{}};=]*>)?(?:\s*+\[\s*+\])*+(?:\s++|(?<=[>\]])\s*+)"
@@ -45,9 +45,11 @@ _CONTROL = (
 )
 _LABEL = r"\bcase\b|\bdefault\b(?=\s*+(?:->|:(?!:)))"
 _TERNARY = r"\?(?!\s*+(?:[>,&]|extends\s|super\s++[A-Za-z]))"
-_TOKEN = rf"{_METHOD}|{_CONTROL}|{_LABEL}|{_TERNARY}|[{{}}]"
+_TOKEN = rf"[{{}}]|{_TERNARY}|{_METHOD}|{_CONTROL}|{_LABEL}"
 _CLASSIC_FOR = r"\Afor\s*+\((?:[^();{}]++|\((?:[^(){}]++|\([^(){}]*+\))*+\))*+;"
 
+_CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "synchronized", "else", "do", "try", "finally")
+
 METHOD_TYPE = "array<struct<name:string,start_line:int,end_line:int,n_params:int,complexity:int,nesting:int>>"
 _OPEN = "array<struct<name:string,start:int,params:int,depth:int,base:int,cx:int,nest:int>>"
 
@@ -59,34 +61,50 @@ def parameter_count(params: Column) -> Column:
     return F.when(params.rlike(r"\A\s*\z"), 0).otherwise(commas + 1)
 
 
-def _token(piece: Column, count_boolean_ops: bool) -> Column:
-    tok = F.substring_index(piece, _END, 1)
+def _cut(piece: Column, i: Column, count_boolean_ops: bool) -> Column:
+    """First look at a token: its text, what follows it, its leading word, and the name if it is a method header.
+    Piece 0 is the text before the first token and only counts lines."""
+    tok = F.when(i == 0, "").otherwise(F.substring_index(piece, _END, 1))
+    long = F.length(tok) > 1
     gap = F.substring_index(piece, _END, -1)
-    word = F.regexp_extract(tok, r"\A(else\s++if|[a-z]++)", 1)
-    is_method = tok.rlike(rf"\A(?:{_METHOD})\z")
+    return F.struct(
+        tok.alias("tok"),
+        gap.contains(";").alias("semi"),
+        newline_count(piece).cast("int").alias("nl"),
+        (F.regexp_count(gap, F.lit(r"&&|\|\|")) if count_boolean_ops else F.lit(0)).alias("ops"),
+        F.when(long, F.regexp_extract(tok, r"\A(else\s++if|[a-z]++)", 1)).otherwise("").alias("word"),
+        F.when(long & tok.contains("("), F.regexp_extract(tok, rf"\A(?:{_METHOD})\z", 1)).otherwise("").alias("name"),
+    )
+
+
+def _classify(c: Column, count_boolean_ops: bool) -> Column:
+    """Turn a token into the small numbers the fold works with."""
+    tok, word = c.tok, c.word
+    is_method = c["name"] != ""
     is_else_if = word.startswith("else") & word.endswith("if")
-    is_control = ~is_method & word.isin("if", "for", "while", "switch", "catch", "synchronized", "else", "do", "try", "finally") | is_else_if
-    classic_for = tok.rlike(_CLASSIC_FOR)
+    is_control = ~is_method & (is_else_if | word.isin(*_CONTROL_WORDS))
+    is_for = word == "for"
     decision = (
-        F.when(is_method | tok.isin("{", "}"), 0)
-        .when(word == "for", classic_for.cast("int"))
+        F.when(is_method, 0)
+        .when(is_for, tok.rlike(_CLASSIC_FOR).cast("int"))
         .when(word.isin("if", "while", "catch", "case", "default") | is_else_if | (tok == "?"), 1)
         .otherwise(0)
     )
-    inner = F.when(is_control, F.regexp_count(tok, F.lit(_TERNARY))).otherwise(0)
+    inner = F.when(is_control & tok.contains("?"), F.regexp_count(tok, F.lit(_TERNARY))).otherwise(0)
     if count_boolean_ops:
-        inner = inner + F.regexp_count(piece, F.lit(r"&&|\|\|"))
+        inner = inner + F.regexp_count(tok, F.lit(r"&&|\|\|")) + c.ops
+    opens = tok.endswith("{")
     return F.struct(
-        F.when(is_method & tok.endswith("{"), 1).when(is_method, 2).when(is_control, 3)
+        F.when(is_method, F.when(opens, 1).otherwise(2)).when(is_control, 3)
         .when(tok == "{", 4).when(tok == "}", 5).otherwise(0).alias("kind"),
-        F.when(word.isin("synchronized") | ((word == "for") & ~classic_for), 0).otherwise(1).alias("weight"),
+        F.when(word == "synchronized", 0).when(is_for, tok.rlike(_CLASSIC_FOR).cast("int")).otherwise(1).alias("weight"),
         F.when(is_else_if, 2).when(word == "if", 1).when(word == "else", 3).otherwise(0).alias("link"),
         (decision + inner).cast("int").alias("cx"),
-        (tok.endswith("{")).alias("opens"),
-        newline_count(tok).cast("int").alias("nl_tok"),
-        newline_count(piece).cast("int").alias("nl"),
-        gap.contains(";").alias("semi"),
-        F.when(is_method, F.regexp_extract(tok, _METHOD, 1)).alias("name"),
+        opens.alias("opens"),
+        F.when(is_method, newline_count(tok)).otherwise(0).cast("int").alias("nl_tok"),
+        c.nl.alias("nl"),
+        c.semi.alias("semi"),
+        c["name"].alias("name"),
         F.when(is_method, parameter_count(F.regexp_extract(tok, _METHOD, 2))).otherwise(0).cast("int").alias("params"),
     )
 
@@ -158,9 +176,10 @@ def method_array(masked, count_boolean_ops: bool = False) -> Column:
     """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of one masked text."""
     text = F.col(masked) if isinstance(masked, str) else masked
     pieces = F.split(F.regexp_replace(text, _TOKEN, MARK + "$0" + _END), MARK, -1)
-    tokens = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _token(p, count_boolean_ops))
+    cut = F.transform(pieces, lambda p, i: _cut(p, i, count_boolean_ops))
+    tokens = F.transform(cut, lambda c: _classify(c, count_boolean_ops))
     start = F.struct(
-        (newline_count(F.element_at(pieces, 1)) + 1).cast("int").alias("line"),
+        F.lit(1).alias("line"),
         F.lit(0).alias("pend"),
         F.lit(0).alias("level"),
         F.lit(0).alias("chain"),
