@@ -603,9 +603,9 @@ def _job_requests(spark, sf):
         F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("started_at"))
 
 
-def _reports(spark, sf, found):
+def _reports(spark, sf, scans, found):
     narratives = R.parse_project_replies(D.project_replies(spark, sf))
-    return RP.build_reports(_job_requests(spark, sf), source_files(spark, sf), found, narratives,
+    return RP.build_reports(_job_requests(spark, sf), scans, found, narratives,
                             F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
 
 
@@ -632,8 +632,9 @@ _REPORT_COLUMNS = ("job_id", "status", "project_name", "total_findings", *[f"{s.
     LEFT JOIN parsed ON parsed.job_id = 'job-' || c_custkey"""))
 def report(spark, sf):
     """The report without the method metrics, which SQL cannot restate."""
-    found = SC.all_findings(source_files(spark, sf)).where(F.col("source") != "JAVAPARSER_AST")
-    return _reports(spark, sf, found).select(
+    scans = RP.write_scans(source_files(spark, sf), shared_folder(spark, "scans"))
+    found = SC.findings_of(scans).where(F.col("source") != "JAVAPARSER_AST")
+    return _reports(spark, sf, scans, found).select(
         *_REPORT_COLUMNS, F.coalesce(F.try_element_at("files_by_language", F.lit("java")), F.lit(0)).alias("java_files"))
 
 
@@ -644,8 +645,9 @@ def report(spark, sf):
     ON f.job_id = 'job-' || c_custkey GROUP BY 1"""))
 def report_json(spark, sf):
     """The JSON documents, read back: counters on the first page, and the listed findings of all pages together."""
-    found = SC.security_scan(source_files(spark, sf))
-    documents = RP.report_json(_reports(spark, sf, found), RP.finding_pages(found, page_size=10))
+    scans = RP.write_scans(source_files(spark, sf), shared_folder(spark, "scans"))
+    found = SC.findings_of(scans).where(F.col("category") == "SECURITY")
+    documents = RP.report_json(_reports(spark, sf, scans, found), RP.finding_pages(found, page_size=10))
     read = documents.select(
         "job_id", F.get_json_object("json", "$.total_findings").cast("bigint").alias("t"),
         F.get_json_object("json", "$.critical_count").cast("bigint").alias("c"),

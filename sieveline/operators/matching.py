@@ -92,12 +92,8 @@ def _measures(limits: dict[str, int]) -> Column:
     )
 
 
-def match_rules(
-    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None
-) -> DataFrame:
-    """(keys, rule_id, line_number, subject, measured), one row per rule and line, all rules in one pass over the
-    texts. ``in_scope`` limits the rules of category SECURITY to some of the texts. With ``limits`` the metric rules
-    are evaluated in the same pass; only their hits carry ``subject`` and ``measured``."""
+def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, Column]:
+    """The staged texts and the array of (rule_id, line_number, subject, measured) to compute from each."""
     rules, staged = _staged(files, rules, keys, in_scope, ("masked",) if limits else ())
     nothing = F.array().cast(HITS)
 
@@ -115,7 +111,28 @@ def match_rules(
         java = F.col("path").endswith(".java") & may_have_methods(F.col("v_masked"))
         staged = staged.withColumn("_facts", F.when(java, method_array("v_masked")))
         hits.append(_measures({**DEFAULT_LIMITS, **limits}))
-    return staged.select(*keys, F.inline(F.concat(*hits)))
+    return staged, F.concat(*hits)
+
+
+def hit_lists(
+    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None
+) -> DataFrame:
+    """One row per text: keys, its line count, and ``hits``, an array of (rule_id, line_number, subject, measured).
+    Meant to be written as a table: a plan that goes on to explode ``hits`` should use ``match_rules``."""
+    staged, hits = _hits(files, rules, keys, in_scope, limits)
+    return staged.select(*keys, T.line_count("content").alias("lines"), hits.alias("hits"))
+
+
+def match_rules(
+    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None
+) -> DataFrame:
+    """(keys, rule_id, line_number, subject, measured), one row per rule and line, all rules in one pass over the
+    texts. ``in_scope`` limits the rules of category SECURITY to some of the texts. With ``limits`` the metric rules
+    are evaluated in the same pass; only their hits carry ``subject`` and ``measured``."""
+    staged, hits = _hits(files, rules, keys, in_scope, limits)
+    # The array goes into the generator as an expression. As a column of its own it would make the optimizer infer a
+    # filter on its size and push that below the staging, computing every view and every rule several times.
+    return staged.select(*keys, F.inline(hits))
 
 
 def _single_scope(rules, scope: str):

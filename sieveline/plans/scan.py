@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import paths as P
 from ..operators import findings as FN
-from ..operators.matching import match_rules
+from ..operators.matching import hit_lists, match_rules
 from ..operators.methods import DEFAULT_LIMITS, method_measures
 from ..operators.rule_catalog import METRIC_RULES, quality_rules, security_rules
 
@@ -56,25 +56,44 @@ def large_files(files: DataFrame, limit: int = C.MAX_FILE_LINES) -> DataFrame:
     return FN.enrich_findings(hits.where(F.col("rule_id") == "QA-GOD-CLASS-001"), METRIC_RULES, limits)
 
 
+def _one_pass(files: DataFrame, matcher, profile: str, limits: dict | None) -> DataFrame:
+    return matcher(
+        files.where(F.col("content").isNotNull()), security_rules(profile) + quality_rules(profile),
+        in_scope=P.in_scan_scope("path", "content"), limits={**DEFAULT_LIMITS, **(limits or {})},
+    )
+
+
+def _to_findings(hits: DataFrame, limits: dict | None, paths_unique: bool) -> DataFrame:
+    """Security findings are distinct per (rule, file, line), their paths normalised; the others are given as often as
+    they came."""
+    security = security_rules()
+    is_security = F.col("rule_id").isin([r.rule_id for r in security])
+    hits = hits.withColumn("path", F.when(is_security, P.normalize_path("path")).otherwise(F.col("path")))
+    if not paths_unique:
+        columns = hits.columns
+        copies = F.sequence(F.lit(1), F.when(is_security, 1).otherwise(F.col("n")))
+        hits = hits.groupBy(*columns).agg(F.count("*").alias("n")).select(*columns, F.explode(copies).alias("_copy")).drop("_copy")
+    return FN.enrich_findings(hits, security + quality_rules() + METRIC_RULES, limits)
+
+
+def file_scans(files: DataFrame, profile: str = "documented", limits: dict | None = None) -> DataFrame:
+    """One small row per file: (job_id, path, lines, hits), from a single pass over the texts with all rules.
+
+    Findings and file statistics both come out of this table. Written once, it spares every later step the texts.
+    """
+    return _one_pass(files, hit_lists, profile, limits)
+
+
+def findings_of(scans: DataFrame, limits: dict | None = None, paths_unique: bool = False) -> DataFrame:
+    """Findings of a written table of file scans."""
+    return _to_findings(scans.select("job_id", "path", F.inline("hits")), limits, paths_unique)
+
+
 def all_findings(
     files: DataFrame, reply_findings: DataFrame | None = None, profile: str = "documented",
     limits: dict | None = None, paths_unique: bool = False,
 ) -> DataFrame:
     """Security, quality and metric findings of every file, each text read and masked once, plus the findings taken
     from model replies if there are any."""
-    security, quality = security_rules(profile), quality_rules(profile)
-    limits = {**DEFAULT_LIMITS, **(limits or {})}
-    hits = match_rules(
-        files.where(F.col("content").isNotNull()), security + quality,
-        in_scope=P.in_scan_scope("path", "content"), limits=limits,
-    )
-    is_security = F.col("rule_id").isin([r.rule_id for r in security])
-    hits = hits.withColumn("path", F.when(is_security, P.normalize_path("path")).otherwise(F.col("path")))
-    if not paths_unique:
-        # only security findings are distinct per (rule, file, line); the others are given back as often as they came
-        columns = hits.columns
-        hits = hits.groupBy(*columns).agg(F.count("*").alias("n")).select(
-            *columns, F.explode(F.sequence(F.lit(1), F.when(is_security, 1).otherwise(F.col("n")))).alias("_copy")
-        ).drop("_copy")
-    out = FN.enrich_findings(hits, security + quality + METRIC_RULES, limits)
+    out = _to_findings(_one_pass(files, match_rules, profile, limits), limits, paths_unique)
     return out if reply_findings is None else out.unionByName(reply_findings)
