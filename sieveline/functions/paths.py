@@ -75,13 +75,16 @@ def file_kind(path) -> Column:
     )
 
 
-def in_scan_scope(path, content, excluded_names=()) -> Column:
-    """Security scan scope: a real path, non-blank text, not below a test directory.
-
-    A path that *starts* with ``test/`` stays in scope; only an inner ``/test/`` part takes it out.
-    """
+def path_in_scope(path, excluded_names=()) -> Column:
+    """A real path that is not below a test directory. One that *starts* with ``test/`` stays in scope; only an inner
+    ``/test/`` part takes it out."""
     p = normalize_path(path)
-    scope = ~is_blank(p) & ~is_blank(content) & ~p.contains("/test/")
+    scope = ~is_blank(p) & ~p.contains("/test/")
     for name in excluded_names:
         scope = scope & ~p.endswith(name)
     return scope
+
+
+def in_scan_scope(path, content, excluded_names=()) -> Column:
+    """Security scan scope: a path in scope and a text that is not blank."""
+    return path_in_scope(path, excluded_names) & ~is_blank(content)

@@ -72,8 +72,7 @@ def newline_count(c) -> Column:
 
 
 def strip_trailing_newlines(c) -> Column:
-    text = _col(c)
-    return F.when(text.endswith("\n"), F.regexp_replace(text, r"\n+\z", "")).otherwise(text)
+    return F.rtrim(_col(c), F.lit("\n"))
 
 
 def line_count(c, empty_is: int = 1) -> Column:

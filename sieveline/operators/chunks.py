@@ -18,7 +18,7 @@ _STATE = "array<struct<nl:int,trail:int,len:int>>"
 def _stats(text: Column) -> Column:
     """Newlines, trailing newlines and length: enough to count the lines of joined texts."""
     length = F.length(text)
-    trail = F.when(text.endswith("\n"), length - F.length(F.regexp_replace(text, r"\n+\z", ""))).otherwise(0)
+    trail = length - F.length(F.rtrim(text, F.lit("\n")))
     return F.struct(newline_count(text).cast("int").alias("nl"), trail.cast("int").alias("trail"), length.alias("len"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from .methods import DEFAULT_LIMITS
-from .rule_catalog import CATALOG, Rule, rules_frame
+from .rule_catalog import CATALOG, Rule, rules_frame, rules_from_frame
 
 HIT_KEY = ("job_id", "rule_id", "path", "line_number")
 FINDING_COLUMNS = (
@@ -37,10 +37,12 @@ def enrich_findings(
 ) -> DataFrame:
     """Attach rule texts to hits (job_id, path, line_number, rule_id and, for metric rules, subject, measured).
 
-    The rule table is configuration of checked size; how to join it is left to Spark, which sees its size.
+    The rule table is configuration: its size is checked (``MAX_RULES``), so it is broadcast. The few dozen rule ids
+    would make hopelessly skewed keys for any other join.
     """
-    if not isinstance(rules, DataFrame):
-        rules = rules_frame(hits.sparkSession, rules)
+    if isinstance(rules, DataFrame):
+        rules = rules_from_frame(rules)
+    rules = rules_frame(hits.sparkSession, rules)
     limits = {**DEFAULT_LIMITS, **(limits or {})}
     limit_of = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     texts = rules.select(
@@ -58,7 +60,7 @@ def enrich_findings(
         return F.coalesce(out, F.col(text))
 
     severe = (F.col("rule_id") == "QA-COMPLEXITY-001") & (F.col("measured").cast("int") > C.SEVERE_COMPLEXITY)
-    return hits.withColumnRenamed("path", "file_path").join(texts, "rule_id").withColumns({
+    return hits.withColumnRenamed("path", "file_path").join(F.broadcast(texts), "rule_id").withColumns({
         "title": filled("title"),
         "description": filled("description"),
         "severity": F.when(severe, "HIGH").otherwise(F.col("severity")),

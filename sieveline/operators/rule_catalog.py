@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 RULE_SCHEMA = (
@@ -280,14 +281,13 @@ def quality_rules(profile: str = "documented") -> tuple[Rule, ...]:
 
 
 def rules_frame(spark: SparkSession, rules: tuple[Rule, ...] = CATALOG) -> DataFrame:
-    rows = [
-        (
-            r.rule_id, r.title, r.description, r.recommendation, r.severity, r.category, r.source,
-            r.pattern, r.view, r.scope, list(r.probes),
-        )
-        for r in rules
-    ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    """The rules as a table of known, checked size: small enough for every task to hold."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"a rule table may hold at most {MAX_RULES} rules")
+    names = [f.split()[0] for f in RULE_SCHEMA.split(", ")]
+    columns = {n: pa.array([list(r.probes) if n == "probes" else getattr(r, n) for r in rules],
+                           pa.list_(pa.string()) if n == "probes" else pa.string()) for n in names}
+    return spark.createDataFrame(pa.table(columns))
 
 
 def rules_from_frame(frame: DataFrame) -> tuple[Rule, ...]:

@@ -50,9 +50,12 @@ def test_text_is_masked_once_and_never_shuffled(spark, tmp_path):
             assert "content" not in exchange
 
 
-def test_scope_filter_reaches_the_scan(spark, tmp_path):
+def test_path_scope_is_filtered_at_the_scan_and_rules_are_broadcast(spark, tmp_path):
     text = plan(scan.security_scan(stored(spark, tmp_path)))
-    assert "PushedFilters: [" in text and "RLIKE(content" in text
+    scan_line = next(line for line in text.splitlines() if "FileScan parquet" in line)
+    assert "/test/" in scan_line and "unused" not in scan_line
+    # the rule table is the broadcast side, never the findings
+    assert "BroadcastHashJoin" in text and "BuildRight" in text and "SortMergeJoin" not in text
 
 
 def test_hot_project_gives_the_same_findings(spark):

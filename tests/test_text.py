@@ -190,3 +190,13 @@ def test_count_occurrences(spark):
     got = rows(spark, texts).select("id", T.count_occurrences("t", "aa").alias("n")).collect()
     assert {texts[r.id]: r.n for r in got} == {t: t.count("aa") for t in texts}
     assert rows(spark, ["x"]).select(T.count_occurrences("t", "").alias("n"), T.count_occurrences(F.lit(None).cast("string"), "a").alias("m")).first() == (0, 0)
+
+
+def test_class_count_equals_the_full_pattern(spark):
+    from sieveline.functions.constants import CLASS_PATTERN
+
+    rnd = random.Random(6)
+    words = ["class", "public", "static", "final", "abstract", " ", "  ", "\n", "X", "y1", "{", "subclass", "private"]
+    texts = ["".join(rnd.choice(words) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
+    for r in metrics.file_metrics(rows(spark, texts), keys=("id",), content="t").collect():
+        assert r.classes == len(list(re.finditer(CLASS_PATTERN, texts[r.id], re.ASCII))), repr(texts[r.id])
