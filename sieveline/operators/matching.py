@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.cleaning import normalize_line_endings
+from ..functions.reuse import built_once
 from .methods import DEFAULT_LIMITS, may_have_methods, measure_array, method_array
 from .rule_catalog import Rule
 
@@ -49,6 +50,7 @@ def _probe(rule: Rule) -> Column | None:
     return reduce(lambda a, b: a | b, [low.contains(p) for p in rule.probes])
 
 
+@built_once
 def _rule_lines(rule: Rule) -> Column:
     """Distinct line numbers of one rule in one text; texts without a probe word skip the regex."""
     parts = []
@@ -109,7 +111,7 @@ def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, C
         hits.append(F.when(F.col("_scope"), F.concat(*scoped)).otherwise(nothing))
     if limits:
         java = F.col("path").endswith(".java") & may_have_methods(F.col("v_masked"))
-        staged = staged.withColumn("_facts", F.when(java, method_array("v_masked")))
+        staged = staged.withColumn("_facts", F.when(java, method_array("v_masked", False)))
         hits.append(_measures({**DEFAULT_LIMITS, **limits}))
     return staged, F.concat(*hits)
 

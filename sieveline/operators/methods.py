@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.cleaning import normalize_line_endings
+from ..functions.reuse import built_once
 from ..functions.text import MARK, mask_source, newline_count
 
 _END = "\x02"
@@ -172,9 +173,10 @@ def _step(s: Column, t: Column) -> Column:
     )
 
 
-def method_array(masked, count_boolean_ops: bool = False) -> Column:
-    """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of one masked text."""
-    text = F.col(masked) if isinstance(masked, str) else masked
+@built_once
+def method_array(masked: str, count_boolean_ops: bool) -> Column:
+    """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of a column of masked text."""
+    text = F.col(masked)
     pieces = F.split(F.regexp_replace(text, _TOKEN, MARK + "$0" + _END), MARK, -1)
     cut = F.transform(pieces, lambda p, i: _cut(p, i, count_boolean_ops))
     tokens = F.transform(cut, lambda c: _classify(c, count_boolean_ops))
