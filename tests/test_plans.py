@@ -30,6 +30,10 @@ def stored(spark, tmp_path):
     return spark.read.parquet(path)
 
 
+def stored_again(tmp_path, spark):
+    return spark.read.parquet(str(tmp_path / "files"))
+
+
 def test_map_only_operators_do_not_shuffle(spark, tmp_path):
     files = stored(spark, tmp_path)
     for frame in (
@@ -52,8 +56,11 @@ def test_text_is_masked_once_and_never_shuffled(spark, tmp_path):
 
 def test_path_scope_is_filtered_at_the_scan_and_rules_are_broadcast(spark, tmp_path):
     text = plan(scan.security_scan(stored(spark, tmp_path)))
-    scan_line = next(line for line in text.splitlines() if "FileScan parquet" in line)
-    assert "/test/" in scan_line and "unused" not in scan_line
+    assert "unused" not in text
+    # bottom-up: the relation, then the filter on the path, before anything is computed from the text
+    steps = [line for line in optimized(scan.security_scan(stored_again(tmp_path, spark))).splitlines() if re.match(r"[\s:+\-|]*[A-Z]", line)]
+    at = next(i for i, line in enumerate(steps) if "Relation [" in line)
+    assert "Filter" in steps[at - 1] and "/test/" in steps[at - 1] and "content" not in steps[at - 1]
     # the rule table is the broadcast side, never the findings
     assert "BroadcastHashJoin" in text and "BuildRight" in text and "SortMergeJoin" not in text
 
