@@ -35,13 +35,6 @@ def in_any_part(path: str, names) -> str:
     return f"list_has_any(string_split({path}, '/'), [{listed}])"
 
 
-def line_count(text: str, empty: int = 1) -> str:
-    """Lines with trailing empty ones dropped, by counting list items up to the last non-empty one."""
-    return f"""(CASE WHEN {text} = '' THEN {empty} ELSE coalesce(list_max(list_transform(
-        range(1, len(string_split({text}, {NL})) + 1),
-        lambda i: CASE WHEN string_split({text}, {NL})[i] <> '' THEN i ELSE 0 END)), 0) END)"""
-
-
 def line_count_fast(text: str, empty: int = 1) -> str:
     kept = rf"regexp_replace({text}, '\n+\z', '')"
     return f"(CASE WHEN {text} = '' THEN {empty} WHEN {kept} = '' THEN 0 ELSE len(string_split({kept}, {NL})) END)"
