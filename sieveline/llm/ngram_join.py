@@ -93,13 +93,33 @@ def _gathered(group: pa.Table, width) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return nodes, np.concatenate([[0], np.cumsum(counts)]), hashes, np.repeat(np.arange(len(nodes)), counts)
 
 
-def _shared_of_bucket(group: pa.Table) -> pa.Table:
-    nodes, _, hashes, owner = _gathered(group, np.uint32)
-    keys = np.sort((hashes.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
-    same = (keys[1:] >> np.uint64(32)) == (keys[:-1] >> np.uint64(32))
-    shared = np.append(same, False) | np.insert(same, 0, False)
-    counts = np.bincount((keys[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
-    return pa.table({"node": nodes[counts > 0], "shared": counts[counts > 0].astype(np.int64)})
+def _shared_of_bucket(bins: int):
+    """How many of each node's shingles here occur in another node, as one row for each bin of nodes."""
+
+    def count(group: pa.Table) -> pa.Table:
+        nodes, _, hashes, owner = _gathered(group, np.uint32)
+        keys = np.sort((hashes.astype(np.uint64) << np.uint64(32)) | owner.astype(np.uint64))
+        same = (keys[1:] >> np.uint64(32)) == (keys[:-1] >> np.uint64(32))
+        shared = np.append(same, False) | np.insert(same, 0, False)
+        counts = np.bincount((keys[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes)).astype(np.int32)
+        nodes, counts = nodes[counts > 0], counts[counts > 0]
+        place = mix(nodes.astype(np.uint64)) % np.uint64(bins)
+        order = np.argsort(place, kind="stable")
+        used, cuts = np.unique(place[order], return_index=True)
+        parts = np.split(order, cuts[1:])[: len(used)]
+        return pa.table({
+            "bin": pa.array(used.astype(np.int32)),
+            "nodes": pa.array([_binary(nodes[p]) for p in parts], pa.binary()),
+            "counts": pa.array([_binary(counts[p]) for p in parts], pa.binary()),
+        })
+
+    return count
+
+
+def _shared_of_bin(group: pa.Table) -> pa.Table:
+    nodes, counts = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("nodes", np.int64), ("counts", np.int32)))
+    values, at = np.unique(nodes, return_inverse=True)
+    return pa.table({"node": values, "shared": np.bincount(at, counts).astype(np.int64)})
 
 
 def _frequencies_of_bucket(group: pa.Table) -> pa.Table:
@@ -182,13 +202,14 @@ def _to_pivot(percent: int):
 def _without_pivots(sets: DataFrame, roots: DataFrame, percent: int, per_group: int, rounds: int):
     """Groups above per_group elements, thinned out. Jaccard distance is a metric, so with distances to one pivot of the group
     known, a node that links to the pivot matters further only if it lies within the link distance of the nearest node that does
-    not. Returns (node, root) still to be worked off, and the links found."""
-    links, reach = None, 1 - percent / 100
+    not. Returns (node, root) still to be worked off, the links found, and whether a group may still be above per_group."""
+    links, reach, left_large = None, 1 - percent / 100, True
     sizes = sets.select("node", "n", "hashes")
     for _ in range(rounds):
         grouped = roots.join(sizes.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("held"), F.min("node").alias("pivot"))
         large = kept(grouped.where(F.col("held") > per_group), "large")
         if large.isEmpty():
+            left_large = False
             break
         pivots = large.join(sizes.select(F.col("node").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot")
         facing = roots.join(sizes, "node").join(pivots.select("root", "pivot", "pivot_hashes"), "root")
@@ -200,7 +221,7 @@ def _without_pivots(sets: DataFrame, roots: DataFrame, percent: int, per_group:
         ring = found.where("linked and node <> pivot").join(outside, "root").where(F.col("distance") >= F.col("nearest") - reach - 1e-9)
         left = found.where("not linked").select("node", "root").unionByName(ring.select("node", "root"))
         roots = kept(roots.join(large.select("root"), "root", "left_anti").select("node", "root").unionByName(left), "roots")
-    return roots, links
+    return roots, links, left_large
 
 
 def _placed(sets: DataFrame, roots: DataFrame, per_group: int, parts: int) -> DataFrame:
@@ -230,7 +251,7 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, p
     spark, docs = docs.sparkSession, documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     info = kept(docs.mapInArrow(_set_rows(n, False), "node long, n long, doc_id long"), "sets-info")
     result = info.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, rows = info.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     alone = result.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     if not total:
         return alone
@@ -239,9 +260,10 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, p
     def dealt(batches):
         yield from _dealt(((node_of(s), s) for b in batches for s in shingle_sets(b.column("text"), n)), buckets, np.uint32)
 
-    shared = docs.select("text").mapInArrow(dealt, _DEALT).groupBy("bucket").applyInArrow(_shared_of_bucket, "node long, shared long")
+    counted = docs.select("text").mapInArrow(dealt, _DEALT).groupBy("bucket").applyInArrow(_shared_of_bucket(parts_for(spark, rows, 20_000)), "bin int, nodes binary, counts binary")
+    shared = counted.groupBy("bin").applyInArrow(_shared_of_bin, "node long, shared long")
     firsts = info.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    able = shared.groupBy("node").agg(F.sum("shared").alias("shared")).where("shared > 0").join(firsts, "node")
+    able = shared.join(firsts, "node")
     able = kept(able.where(F.col("shared") * 100 >= F.col("n") * percent), "able")
     near = docs.join(able.select(F.col("doc_id").alias("able_id")), F.col("doc_id").eqNullSafe(F.col("able_id")), "left_semi")
     sets = kept(near.select("text").mapInArrow(_set_rows(n, True), "node long, n long, hashes binary").where("n > 0"), "sets")
@@ -257,10 +279,13 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, p
     prefixes = kept(meeting.mapInArrow(_prefix_rows(percent), "token long, node long"), "prefixes")
     hubs = prefixes.groupBy("token").agg(F.min("node").alias("hub"))
     roots = components(prefixes.join(hubs, "token").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
-    roots, links = _without_pivots(sets, roots, percent, per_group, rounds)
-    placed = _placed(sets, roots, per_group, parts_for(spark, held, per_bucket // 2))
+    roots, links, left_large = _without_pivots(sets, roots, percent, per_group, rounds)
+    placed = _placed(sets, roots, per_group, parts_for(spark, held, per_bucket // 8))
     joined = placed.groupBy("bucket").applyInArrow(_trie_of_bucket(percent), "u long, v long")
-    found = components(joined if links is None else joined.unionByName(links))
+    if links is None and not left_large:  # each group was one task's, which gave every node its representative
+        found = joined.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    else:
+        found = components(joined if links is None else joined.unionByName(links))
     least = firsts.join(found, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("class"))
     smallest = least.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     classes = least.join(smallest, "class").select("node", "component_id")
