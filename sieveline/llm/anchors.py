@@ -22,7 +22,7 @@ from sieveline.llm.words import Words, run_hashes, split_words, utf8, window_sta
 
 K = 8
 PER_SHARD, PER_ANCHOR = 500_000, 20_000
-_SEGMENTS = "doc_id long, row long, start int, n int, anchor int, key long, seg long"
+_SEGMENTS = "row long, start int, n int, anchor int, key long, seg long"
 
 
 def least_positions(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,6 +52,15 @@ def segments(words: Words, window: int, k: int):
     return starts[first], starts[last] + window, at[first], grams[at[first]]
 
 
+def _anchor_rows(window: int, k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, words in word_chunks(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(words, window, k)[3].astype(np.int64))], names=["key"])
+
+    return rows
+
+
 def _segment_rows(window: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,20 +70,20 @@ def _segment_rows(window: int, k: int):
                 own = pa.array(doc + first_row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(own), batch.column("row").take(own), pa.array((start - words.bounds[doc]).astype(np.int32)),
+                        batch.column("row").take(own), pa.array((start - words.bounds[doc]).astype(np.int32)),
                         pa.array((end - start).astype(np.int32)), pa.array((anchor - start).astype(np.int32)), pa.array(key.astype(np.int64)),
                         pa.array(run_hashes(words.hashes, start, end).astype(np.int64)),
                     ],
-                    names=["doc_id", "row", "start", "n", "anchor", "key", "seg"],
+                    names=["row", "start", "n", "anchor", "key", "seg"],
                 )
 
     return rows
 
 
 def _texts_with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs joined to rows of marks (doc_id, row, ...), which has one row for each distinct pair of them at most."""
-    marks = marks.withColumnRenamed("doc_id", "of_doc").withColumnRenamed("row", "of_row")
-    return docs.join(marks, docs.doc_id.eqNullSafe(marks.of_doc) & (docs.row == marks.of_row), how).drop("of_doc", "of_row")
+    """docs joined to marks (row, ...), which has each row number once at most."""
+    marks = marks.withColumnRenamed("row", "of_row")
+    return docs.join(marks, docs.row == marks.of_row, how).drop("of_row")
 
 
 def _word_rows(windows_only: int):
@@ -152,18 +161,18 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
     row or another; kept is the other words, joined by one space. decide gets a shard's distinct segments as arrays of word
     numbers, with copies and anchors, and gives the spans of each segment whose windows occur twice. A null text counts as empty;
     a row with fewer words than a window keeps all; rows with equal doc_id, null included, are rows of their own; an empty table
-    gives no rows. carry: the first column is `carried` instead, a struct of all columns of docs.
+    gives no rows. A row is known by the 64-bit hash of its doc_id and text. carry: the first column is `carried` instead, a struct of all columns of docs.
 
     per_shard: words in a shard, about. An anchor with more distinct segments than per_anchor is not put in one shard: its windows
     are grouped by their own hash instead, with partial counts, which gives the same answer. Both only cut the work."""
     spark = docs.sparkSession
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if carry else F.col("`doc_id`").cast("long")
-    docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), whole.alias("carried"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    every = kept(docs.select("doc_id", "row", "text").mapInArrow(_segment_rows(window, k), _SEGMENTS), "segments")
-    met = every.groupBy("key").count().where("count > 1").select("key")
-    rows = kept(every.join(met, "key", "left_semi"), "repeated")
-    distinct = rows.groupBy("key", "seg", "n", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "row", "start")).alias("of"))
+    row = F.xxhash64(F.col("`doc_id`").cast("long"), F.col("`text`"))
+    docs = docs.select(F.col("`text`").alias("text"), whole.alias("carried"), row.alias("row"))
+    anchors = docs.select("text").mapInArrow(_anchor_rows(window, k), "key long")
+    met = kept(anchors.groupBy("key").count().where("count > 1").select("key"), "anchors")
+    rows = kept(docs.select("row", "text").mapInArrow(_segment_rows(window, k), _SEGMENTS).join(met, "key", "left_semi"), "repeated")
+    distinct = rows.groupBy("key", "seg", "n", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("of"))
     distinct = kept(distinct, "distinct")
     groups = distinct.groupBy("key").agg(F.count("*").alias("segs"), F.sum("n").alias("held"))
     mixed = kept(groups.where("segs > 1"), "mixed")
@@ -172,8 +181,8 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
     wanted = distinct.join(mixed, "key").select("of.*", F.struct(F.col("of.start").alias("start"), "n", "anchor", "key", "seg", "copies").alias("s"), (F.col("segs") > per_anchor).alias("large"))
 
     def pieces(of_large: bool, schema: str, windows_only: int = 0) -> DataFrame:
-        by_row = wanted.where(F.col("large") == of_large).groupBy("doc_id", "row").agg(F.collect_list("s").alias("wanted"))
-        return _texts_with(docs, by_row, "inner").select("text", "wanted").mapInArrow(_word_rows(windows_only), schema)
+        by_row = wanted.where(F.col("large") == of_large).groupBy("row").agg(F.collect_list("s").alias("wanted"))
+        return _texts_with(docs.select("row", "text"), by_row, "inner").select("text", "wanted").mapInArrow(_word_rows(windows_only), schema)
 
     found = alone
     if held:
@@ -187,7 +196,7 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
         found = found.unionByName(
             hot.join(twice, "hash", "left_semi").groupBy("key", "seg").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
         )
-    marks = rows.join(found, ["key", "seg"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
+    marks = rows.join(found, ["key", "seg"]).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
     marked = _texts_with(docs, kept(marks, "marks"), "left").select("carried", "text", "marks")
     schema = f"carried {docs.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>"
     out = marked.mapInArrow(_cut_rows, schema)
