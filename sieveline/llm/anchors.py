@@ -21,7 +21,7 @@ from sieveline.llm.tables import kept, parts_for
 from sieveline.llm.words import Words, run_hashes, split_words, utf8, window_starts, word_chunks
 
 K = 8
-PER_SHARD, PER_ANCHOR = 500_000, 20_000
+PER_SHARD, PER_ANCHOR = 250_000, 20_000
 _SEGMENTS = "row long, start int, n int, anchor int, key long, seg long"
 
 
@@ -136,10 +136,17 @@ def covered_spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], reach[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]], 1)
 
 
+def _python_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Values of some columns row by row, made for a few rows at a time."""
+    for first in range(0, batch.num_rows, 256):
+        part = batch.slice(first, 256)
+        yield from zip(*(part.column(n).to_pylist() for n in names))
+
+
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"carried": batch.column("carried"), "n_words": [], "n_removed": [], "kept": [], "spans": []}
-        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist()):
+        for text, marks in _python_rows(batch, "text", "marks"):
             words = (text or "").encode().split()
             flat = [(m["start"] + a, m["start"] + b) for m in marks or () for a, b in zip(m["spans"][::2], m["spans"][1::2])]
             spans = covered_spans(*np.array(flat, np.int64).reshape(-1, 2).T)

@@ -181,7 +181,7 @@ def vocabulary(raw: bytes) -> Vocabulary:
 class WordStore:
     """Tokens of words seen, kept by a task between chunks: at most `most` words, then it starts anew. It saves work only."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most = encode, most
         self.clear()
 

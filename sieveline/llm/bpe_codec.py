@@ -144,7 +144,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", decode_too: bo
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(raw.value, True, guessed_or_merged)
         for batch in batches:
-            for first, group in text_chunks(batch.column("text").to_pylist()):
+            for first, group in text_chunks(batch.column("text")):
                 ids, bounds = own.ids(group)
                 out = [
                     batch.column("doc_id").slice(first, len(group)), pa.array(np.diff(bounds), pa.int64()),

@@ -24,7 +24,7 @@ from sieveline.llm.tables import documents_of, kept, parts_for
 from sieveline.llm.words import mix, run_hashes, word_chunks
 
 PERCENT, N_WORDS = 75, 5
-PER_BUCKET, PER_GROUP = 2_000_000, 4_000_000
+PER_BUCKET, PER_GROUP = 1_000_000, 4_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -72,7 +72,7 @@ def _dealt(node_sets, buckets: int, width) -> Iterator[pa.RecordBatch]:
         seen.add(node)
         nodes.append(node), sets.append(shingles)
         held += len(shingles)
-        if held >= 1_000_000:
+        if held >= 500_000:
             yield flush()
             nodes, sets, held, seen = [], [], 0, set()
     if sets:
@@ -273,14 +273,14 @@ def jaccard_classes(docs: DataFrame, n: int = N_WORDS, percent: int = PERCENT, p
         yield from _dealt(rows, few, np.uint64)
 
     held = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    few = parts_for(spark, held, per_bucket // 2)
+    few = parts_for(spark, held, per_bucket)
     counted = sets.select("node", "hashes").mapInArrow(dealt_sets, _DEALT).groupBy("bucket").applyInArrow(_frequencies_of_bucket, "node long, hashes binary, found binary")
     meeting = counted.groupBy("node").agg(F.collect_list(F.struct("hashes", "found")).alias("parts"))
     prefixes = kept(meeting.mapInArrow(_prefix_rows(percent), "token long, node long"), "prefixes")
     hubs = prefixes.groupBy("token").agg(F.min("node").alias("hub"))
     roots = components(prefixes.join(hubs, "token").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")))
     roots, links, left_large = _without_pivots(sets, roots, percent, per_group, rounds)
-    placed = _placed(sets, roots, per_group, parts_for(spark, held, per_bucket // 8))
+    placed = _placed(sets, roots, per_group, parts_for(spark, held, per_bucket // 4))
     joined = placed.groupBy("bucket").applyInArrow(_trie_of_bucket(percent), "u long, v long")
     if links is None and not left_large:  # each group was one task's, which gave every node its representative
         found = joined.select(F.col("u").alias("node"), F.col("v").alias("root"))

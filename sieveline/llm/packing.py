@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", tiers: tuple[int
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for first, group in text_chunks(batch.column("text").to_pylist()):
+            for first, group in text_chunks(batch.column("text")):
                 ids, bounds = own.ids(group)
                 for i in range(len(group)):
                     mine = np.append(ids[bounds[i] : bounds[i + 1]], end).astype("<u4")

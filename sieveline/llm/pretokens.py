@@ -14,12 +14,12 @@ from functools import cache
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 
-from sieveline.llm.words import mix, slice_hashes
+from sieveline.llm.words import BYTE_BASE, mix, slice_hashes
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, SLICE_ROWS = 1 << 19, 256
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
-_BASE = 0xA0761D6478BD642D
 
 
 class Pretokens(NamedTuple):
@@ -104,7 +104,7 @@ def pretokens(texts: list[str], spaced: bool, specials: dict[str, int]) -> Preto
         start[begin[p]] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(points))[: len(starts)]
-    hashes = slice_hashes(codes[points], _BASE, starts, ends)
+    hashes = slice_hashes(codes[points], BYTE_BASE, starts, ends)
     special_at = {}
     for p, token in special_pieces.items():
         at = int(np.searchsorted(starts, begin[p]))
@@ -119,14 +119,16 @@ def pretokens(texts: list[str], spaced: bool, specials: dict[str, int]) -> Preto
     return Pretokens(text, starts, ends, hashes, np.searchsorted(owner, np.arange(len(texts) + 1)), special_at, unsure)
 
 
-def text_chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of groups of rows with some CHUNK_CHARS together; null counts as empty, and no text is cut."""
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of groups of rows with some CHUNK_CHARS together; null counts as empty, and no text is cut. Strings are
+    made for a few rows at a time."""
     group, first, held = [], 0, 0
-    for i, text in enumerate(texts):
-        group.append(text or "")
-        held += len(group[-1])
-        if held >= CHUNK_CHARS:
-            yield first, group
-            group, first, held = [], i + 1, 0
+    for row in range(0, len(column), SLICE_ROWS):
+        for i, text in enumerate(column.slice(row, SLICE_ROWS).to_pylist(), row):
+            group.append(text or "")
+            held += len(group[-1])
+            if held >= CHUNK_CHARS:
+                yield first, group
+                group, first, held = [], i + 1, 0
     if group:
         yield first, group

@@ -47,7 +47,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
         own = encoder(raw.value, True, whole_or_merged)
         for batch in batches:
             texts = batch.column("text")
-            counts = [own.counts(group) for _, group in text_chunks(texts.to_pylist())]
+            counts = [own.counts(group) for _, group in text_chunks(texts)]
             sizes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

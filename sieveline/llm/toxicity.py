@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.bpe import KeyTable
 from sieveline.llm.tables import documents_of
-from sieveline.llm.words import CHUNK_BYTES, lower_letters, mix, slice_hashes, utf8
+from sieveline.llm.words import BYTE_BASE, CHUNK_BYTES, lower_letters, mix, slice_hashes, utf8
 
 SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_Z, GRADES = 8000, 4096, 3, 4.0, 4
 PREFIXES = (4, 5, 6)
-_BASE = 0xC2B2AE3D27D4EB4F | 5
 
 
 def feature_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -36,10 +35,10 @@ def feature_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
         words, bounds = lower_letters(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         codes, starts, ends = words
         of = np.searchsorted(bounds, np.arange(len(starts)), "right") - 1
-        rows, features = [of], [slice_hashes(codes, _BASE, starts, ends)]
+        rows, features = [of], [slice_hashes(codes, BYTE_BASE, starts, ends)]
         for k in PREFIXES:
             long = ends - starts > k
-            rows.append(of[long]), features.append(mix(slice_hashes(codes, _BASE, starts[long], starts[long] + k) + np.uint64(k)))
+            rows.append(of[long]), features.append(mix(slice_hashes(codes, BYTE_BASE, starts[long], starts[long] + k) + np.uint64(k)))
         yield row, end, np.concatenate(rows) + row, np.concatenate(features).astype(np.int64)
         row = end
 

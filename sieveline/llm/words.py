@@ -13,8 +13,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD1342543DE82EF95
+CHUNK_BYTES = 1 << 19
+BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_KEPT_POWERS = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -38,7 +39,9 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         full = np.full(max(n, 1 << 16), base, np.uint64)
         full[0] = 1
-        have = _POWERS[base] = np.cumprod(full, dtype=np.uint64)
+        have = np.cumprod(full, dtype=np.uint64)
+        if len(have) <= _KEPT_POWERS:
+            _POWERS[base] = have
     return have
 
 
@@ -90,7 +93,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     """data: UTF-8 of the documents one after the other; offsets: where each begins, and the end. lower: A to Z become a to z."""
     data = _LOWER[data] if lower else data
     starts, ends = _runs(_IN_WORD[data], offsets)
-    return Words(slice_hashes(_CODES[data], _BYTE_BASE, starts, ends), np.searchsorted(starts, offsets), starts, ends, data)
+    return Words(slice_hashes(_CODES[data], BYTE_BASE, starts, ends), np.searchsorted(starts, offsets), starts, ends, data)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
