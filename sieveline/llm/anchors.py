@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from sieveline.llm.tables import kept, parts_for
 from sieveline.llm.words import Words, run_hashes, split_words, utf8, window_starts, word_chunks
@@ -205,6 +206,7 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
         )
     marks = rows.join(found, ["key", "seg"]).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
     marked = _texts_with(docs, kept(marks, "marks"), "left").select("carried", "text", "marks")
-    schema = f"carried {docs.schema['carried'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<start: long, end: long>>"
+    span = StructType().add("start", "long").add("end", "long")
+    schema = StructType([StructField("carried", docs.schema["carried"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", ArrayType(span))
     out = marked.mapInArrow(_cut_rows, schema)
     return out if carry else out.withColumnRenamed("carried", "doc_id")

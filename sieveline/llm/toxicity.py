@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sieveline.llm.bpe import KeyTable
 from sieveline.llm.tables import documents_of
@@ -155,7 +156,7 @@ def score(docs: DataFrame, model: Model | None, reject_from: float = 0.5, carry:
                 names=[carry, "expected_severity", "grade", "p_toxic"],
             )
 
-    schema = f"{carry} {docs.schema[carry].dataType.simpleString()}, expected_severity double, grade int, p_toxic double"
+    schema = StructType([StructField(carry, docs.schema[carry].dataType)]).add("expected_severity", "double").add("grade", "integer").add("p_toxic", "double")
     return docs.select(carry, "text").mapInArrow(rows, schema).withColumn("rejected", F.col("p_toxic") >= reject_from)
 
 
