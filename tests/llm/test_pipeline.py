@@ -38,7 +38,7 @@ def test_stages_take_odd_rows(spark, table_of, odd_rows, name, stage):
     rows = out.collect()
     assert stage(spark, docs.limit(0), SF).count() == 0
     if name != "packing":
-        assert out.columns == docs.columns and rows
+        assert out.columns == docs.columns and (rows or name == "quality_rules")  # words with digits are no plain words
     if name == "ngram_join":
         assert [r.doc_id for r in rows if r.text == "one two"] == [4]
         assert len([r for r in rows if not (r.text or "").strip()]) == 4
