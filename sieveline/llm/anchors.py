@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from sieveline.llm.tables import kept, parts_for
-from sieveline.llm.words import Words, run_hashes, split_words, utf8, window_starts, word_chunks
+from sieveline.llm.words import Words, give_back, run_hashes, split_words, utf8, window_starts, word_chunks
 
 K = 8
 PER_SHARD, PER_ANCHOR = 250_000, 20_000
@@ -137,17 +137,18 @@ def covered_spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], reach[np.append(np.flatnonzero(new)[1:], len(starts)) - 1]], 1)
 
 
-def _python_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+def _python_rows(*columns: pa.Array) -> Iterator[tuple]:
     """Values of some columns row by row, made for a few rows at a time."""
-    for first in range(0, batch.num_rows, 256):
-        part = batch.slice(first, 256)
-        yield from zip(*(part.column(n).to_pylist() for n in names))
+    for first in range(0, len(columns[0]), 256):
+        yield from zip(*(c.slice(first, 256).to_pylist() for c in columns))
+    give_back()
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"carried": batch.column("carried"), "n_words": [], "n_removed": [], "kept": [], "spans": []}
-        for text, marks in _python_rows(batch, "text", "marks"):
+        texts = batch.column("text") if "text" in batch.schema.names else batch.column("carried").field("text")
+        for text, marks in _python_rows(texts, batch.column("marks")):
             words = (text or "").encode().split()
             flat = [(m["start"] + a, m["start"] + b) for m in marks or () for a, b in zip(m["spans"][::2], m["spans"][1::2])]
             spans = covered_spans(*np.array(flat, np.int64).reshape(-1, 2).T)
@@ -205,7 +206,7 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
             hot.join(twice, "hash", "left_semi").groupBy("key", "seg").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
         )
     marks = rows.join(found, ["key", "seg"]).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
-    marked = _texts_with(docs, kept(marks, "marks"), "left").select("carried", "text", "marks")
+    marked = _texts_with(docs, kept(marks, "marks"), "left").select("carried", *([] if carry else ["text"]), "marks")
     span = StructType().add("start", "long").add("end", "long")
     schema = StructType([StructField("carried", docs.schema["carried"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", ArrayType(span))
     out = marked.mapInArrow(_cut_rows, schema)

@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-from sieveline.llm.words import BYTE_BASE, mix, slice_hashes
+from sieveline.llm.words import BYTE_BASE, give_back, mix, slice_hashes
 
 CHUNK_CHARS, SLICE_ROWS = 1 << 19, 256
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
@@ -132,3 +132,4 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
                 group, first, held = [], i + 1, 0
     if group:
         yield first, group
+    give_back()

@@ -31,7 +31,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rows that the ordinal model does not reject. The model is fitted on the labelled rows of docs."""
     texts = documents_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = toxicity.fit(texts, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select(_whole(docs), F.col("`text`").alias("text")), model, carry="whole")
+    scored = toxicity.score(docs.select(_whole(docs)), model, carry="whole")
     return scored.where(~F.col("rejected")).select("whole.*")
 
 

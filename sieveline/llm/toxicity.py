@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 
 from sieveline.llm.bpe import KeyTable
 from sieveline.llm.tables import documents_of
-from sieveline.llm.words import BYTE_BASE, CHUNK_BYTES, lower_letters, mix, slice_hashes, utf8
+from sieveline.llm.words import BYTE_BASE, CHUNK_BYTES, give_back, lower_letters, mix, slice_hashes, utf8
 
 SAMPLE_ROWS, FEATURES, LEAST_ROWS, LEAST_Z, GRADES = 8000, 4096, 3, 4.0, 4
 PREFIXES = (4, 5, 6)
@@ -42,6 +42,7 @@ def feature_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.n
             rows.append(of[long]), features.append(mix(slice_hashes(codes, BYTE_BASE, starts[long], starts[long] + k) + np.uint64(k)))
         yield row, end, np.concatenate(rows) + row, np.concatenate(features).astype(np.int64)
         row = end
+    give_back()
 
 
 class Model(NamedTuple):
@@ -138,14 +139,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
 
 
 def score(docs: DataFrame, model: Model | None, reject_from: float = 0.5, carry: str = "doc_id") -> DataFrame:
-    """Rows of docs (text and the column named carry, of any type) as carry, expected_severity, grade, p_toxic, rejected: see
+    """Rows of docs (text and the column named carry, or a struct carry that holds text) as carry, expected_severity, grade, p_toxic, rejected: see
     :func:`toxicity`."""
     table = KeyTable(model.features, np.arange(len(model.features)), -1) if model else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linear = np.zeros(batch.num_rows)
-            for first, end, rows, found in feature_chunks(batch.column("text")) if model else ():
+            texts = batch.column("text") if "text" in batch.schema.names else batch.column(carry).field("text")
+            for first, end, rows, found in feature_chunks(texts) if model else ():
                 columns = table.get(found)
                 keep = columns >= 0
                 pairs, counts = np.unique(np.stack([rows[keep], columns[keep]]), axis=1, return_counts=True)
@@ -157,7 +159,7 @@ def score(docs: DataFrame, model: Model | None, reject_from: float = 0.5, carry:
             )
 
     schema = StructType([StructField(carry, docs.schema[carry].dataType)]).add("expected_severity", "double").add("grade", "integer").add("p_toxic", "double")
-    return docs.select(carry, "text").mapInArrow(rows, schema).withColumn("rejected", F.col("p_toxic") >= reject_from)
+    return docs.mapInArrow(rows, schema).withColumn("rejected", F.col("p_toxic") >= reject_from)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, reject_from: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ hashes in every task and run; the constants below are part of what "equal" means
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -96,6 +97,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     return Words(slice_hashes(_CODES[data], BYTE_BASE, starts, ends), np.searchsorted(starts, offsets), starts, ends, data)
 
 
+def give_back() -> None:
+    """Hand memory that a worker has freed back to the system; workers live on between tasks and share a machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     column = column.fill_null("") if column.null_count else column
@@ -118,6 +126,7 @@ def word_chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int
         end = min(end, len(texts))
         yield row, end, split_words(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row], lower)
         row = end
+    give_back()
 
 
 _LETTERS = np.zeros(256, bool)
