@@ -28,7 +28,7 @@ def to_map(json) -> Column:
 
 def merge(main, update) -> Column:
     """Shallow merge of two JSON objects: the update wins for every key it has, also with null. A null argument gives
-    the other one."""
+    the other one, and an update that is no object leaves the main value as it is."""
     def entries(c: Column) -> Column:
         return F.try_variant_get(F.try_parse_json(c), "$", "map<string,variant>")
 
@@ -36,4 +36,4 @@ def merge(main, update) -> Column:
     left, right = entries(a), entries(b)
     kept = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
     merged = F.to_json(F.map_concat(kept, right), {"ignoreNullFields": "false"})
-    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(merged)
+    return F.when(a.isNull(), b).when(b.isNull() | right.isNull(), a).otherwise(merged)

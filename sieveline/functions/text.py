@@ -112,9 +112,9 @@ def match_start_lines(c, pattern: str) -> Column:
     """Numbers of the lines on which a match in the whole text starts.
 
     A marker is put in front of every match; the marked lines are the answer. One regex pass, no offsets,
-    no prefix rescans, and several matches on a line already count once.
+    no prefix rescans, and several matches on a line already count once. Markers that the text holds itself are left out.
     """
-    marked = F.split(F.regexp_replace(_col(c), f"(?:{pattern})", MARK + "$0"), "\n", -1)
+    marked = F.split(F.regexp_replace(F.translate(_col(c), MARK, ""), f"(?:{pattern})", MARK + "$0"), "\n", -1)
     numbered = F.transform(marked, lambda line, i: F.when(line.contains(MARK), i + 1))
     return F.filter(numbered, lambda n: n.isNotNull())
 

@@ -87,36 +87,25 @@ def with_language(chunks: DataFrame, path: str = "path") -> DataFrame:
     return chunks.withColumn("language", detect_language(path))
 
 
-CHUNK_PROMPT = """You review one part of an older code base as an experienced software architect.
-
-Project: {project}
-File: {file} (part {number} of {total}, lines {start} to {end})
-Language: {language}
-
-Look at:
-1. structure: coupling, missing layers, unclear responsibilities
-2. speed: repeated queries, slow loops, resources left open
-3. upkeep: copies, names, missing abstractions
-4. dependencies
-5. parts that could be modernised or moved out
-
-Answer with JSON only:
-{"summary": "one sentence on what this file is for",
- "findings": [{"title": "", "description": "", "recommendation": "", "severity": "HIGH|MEDIUM|LOW|INFO", "lineHint": 1}]}
+CHUNK_PROMPT = """Excerpt {number}/{total} of {file}, lines {start}-{end}, written in {language}. It belongs to {project}.
 
+<excerpt>
 {code}
-"""
-PROJECT_PROMPT = """You judge the architecture of a whole code base from summaries of its files.
+</excerpt>
 
-Project: {project}
+A maintainer takes this file over tomorrow. Tell them what would surprise them: hidden state, errors that are swallowed, code that
+only works in one order, values that should be settings, behaviour no test could pin down. Leave style alone, and report nothing
+that the excerpt does not show. An empty list of findings is a good answer.
 
-Summaries:
+Reply with one JSON object and no other text. Its keys: "summary", what the file does, as a string; "findings", a list of objects
+with "title", "description", "recommendation", "severity" (HIGH, MEDIUM, LOW or INFO) and "lineHint", a line number in the excerpt.
+"""
+PROJECT_PROMPT = """Notes on the files of {project}, one to a line:
 - {summaries}
 
-Answer with JSON only:
-{"executiveSummary": "two or three plain sentences",
- "architecturalAssessment": "one technical paragraph",
- "topRecommendations": ["five concrete actions, most important first"]}
+From these notes alone, say how the parts hang together and what to change first. Reply with one JSON object and no other text. Its
+keys: "executiveSummary", for a reader who does not program; "architecturalAssessment", for one who does; "topRecommendations", a
+list of strings, the most useful five at most.
 """
 
 
