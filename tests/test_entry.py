@@ -1,5 +1,7 @@
 """The driver contract on the smallest tables: every query runs, and equals its SQL where it has one."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -19,7 +21,8 @@ def con():
 
 
 def test_registry():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}  # those have tests of their own
+    assert own - set(entry.oracle_sql()) == ROWS_ONLY
 
 
 def test_entry(spark):
