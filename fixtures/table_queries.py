@@ -688,15 +688,13 @@ def stream_latest_status(spark, sf):
     return ST.read_latest_status(spark, f"{base}/out").select("job_id", "event_id", "status")
 
 
-@query("stream_expired_jobs", S.with_ctes(_STATES, """swept AS (SELECT job_id, max(completed_at) AS done,
-    date_trunc('hour', completed_at) + INTERVAL '1' HOUR AS sweep FROM states WHERE completed_at IS NOT NULL GROUP BY 1, 3)""", select="""
-    SELECT job_id, strftime(done, '%Y-%m-%d %H:%M:%S') AS completed_at, strftime(sweep, '%Y-%m-%d %H:%M:%S') AS swept_at FROM swept
-    WHERE sweep <= (SELECT max(completed_at) FROM states) - INTERVAL '24' HOUR"""))
+@query("stream_expired_jobs", S.with_ctes(_STATES, _LATEST, select="""
+    SELECT job_id, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at FROM latest
+    WHERE completed_at < (SELECT max(updated_at) FROM states) - INTERVAL '24' HOUR"""))
 def stream_expired_jobs(spark, sf):
+    """The jobs that ``expire_jobs`` drops as of the newest state."""
     base = shared_folder(spark, "stream-expiry")
-    jobs = _state_stream(spark, sf).select("job_id", F.col("completed_at").cast("timestamp").alias("completed_at"))
-    ST.stream_expired_jobs(jobs, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
-        "job_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("completed_at", "swept_at")])
+    ST.stream_expired_jobs(_state_stream(spark, sf), f"{base}/out", f"{base}/checkpoint", lateness="0 seconds").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("job_id", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
 
 

@@ -137,16 +137,17 @@ def project_prompts(
     """(job_id, part, parts, summaries, prompt): the chunk summaries of a project as one bullet list, in file and
     chunk order.
 
-    A project of up to ``per_prompt`` summaries gives one prompt. A larger one is spread by file over as many prompts
-    as it needs, so that no task ever holds all summaries of a project; every summary is in exactly one prompt.
-    Expects job_id, file_path, chunk_index, summary.
+    A project of up to ``per_prompt`` summaries gives one prompt. A larger one is spread by runs of chunks over as many
+    prompts as it needs, so that no task ever holds all summaries of a project or of a large file; every summary is in
+    exactly one prompt. Expects job_id, file_path, chunk_index, summary.
     """
+    run = F.floor(F.col("chunk_index") / max(1, per_prompt // 10))
     sizes = summaries.groupBy("job_id").agg(F.count("*").alias("_n"))
     parts = F.ceil(F.col("_n") / per_prompt).cast("int").alias("parts")
     # only the projects that need more than one prompt have to be looked up
     large = sizes.where(F.col("_n") > per_prompt).select("job_id", parts)
     placed = summaries.join(large, "job_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
-        "part", F.pmod(F.xxhash64("file_path"), F.col("parts")).cast("int")
+        "part", F.pmod(F.xxhash64(F.col("file_path"), run), F.col("parts")).cast("int")
     )
     ordered = F.array_sort(F.collect_list(F.struct("file_path", "chunk_index", "summary")))
     bullets = F.array_join(F.transform(ordered, lambda s: s.summary), "\n- ")

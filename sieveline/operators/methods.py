@@ -17,11 +17,20 @@ from ..functions.text import MARK, mask_source, newline_count
 
 _END = "\x02"
 
-# Round brackets up to four deep, no braces inside.
-_IN1 = r"[^(){}]*+"
-_IN2 = rf"(?:[^(){{}}]++|\({_IN1}\))*+"
-_IN3 = rf"(?:[^(){{}}]++|\({_IN2}\))*+"
-_PARENS = rf"\((?:[^(){{}}]++|\({_IN3}\))*+\)"
+_BRACKET_DEPTH = 60
+_CHUNK = 256
+
+
+def _brackets(depth: int) -> str:
+    """Round brackets with all that is between them, ``depth`` deep at most. The pattern grows by a few characters a level
+    and never backtracks."""
+    inner = r"[^()]*+"
+    for _ in range(depth - 1):
+        inner = rf"(?:[^()]++|\({inner}\))*+"
+    return rf"\({inner}\)"
+
+
+_PARENS = _brackets(_BRACKET_DEPTH)
 
 _NOT_A_TYPE = (
     r"(?!(?:return|new|else|throw|case|assert|package|import|goto|instanceof|yield|do|class|interface|enum|record|"
@@ -34,7 +43,7 @@ _METHOD = (
     r"(?:<[^(){};=]*?>\s*+)?"
     rf"{_NOT_A_TYPE}[A-Za-z_$][\w$.]*+(?:\s*+<[^(){{}};=]*>)?(?:\s*+\[\s*+\])*+(?:\s++|(?<=[>\]])\s*+)"
     rf"{_NOT_A_NAME}([A-Za-z_$][\w$]*+)\s*+"
-    r"\(((?:[^(){};]++|\([^(){};]*+\))*+)\)"
+    rf"\(((?:[^(){{}};]++|{_PARENS})*+)\)"
     r"(?:\s*+\[\s*+\])*+\s*+(?:throws\s++[\w.$,\s]++)?+([{;])"
 )
 _CONTROL = (
@@ -47,7 +56,9 @@ _CONTROL = (
 _LABEL = r"\bcase\b|\bdefault\b(?=\s*+(?:->|:(?!:)))"
 _TERNARY = r"\?(?!\s*+(?:[>,&]|extends\s|super\s++[A-Za-z]))"
 _TOKEN = rf"[{{}}]|{_TERNARY}|{_METHOD}|{_CONTROL}|{_LABEL}"
-_CLASSIC_FOR = r"\Afor\s*+\((?:[^();{}]++|\((?:[^(){}]++|\([^(){}]*+\))*+\))*+;"
+_FOR_HEAD = rf"for\s*+\((?:[^();]++|{_PARENS})*+;"
+_CLASSIC_FOR = rf"\A{_FOR_HEAD}"
+_DECISION = rf"\b(?:if|while|catch)\b|{_LABEL}|\b{_FOR_HEAD}"
 
 _CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "synchronized", "else", "do", "try", "finally")
 
@@ -56,9 +67,19 @@ _OPEN = "array<struct<name:string,start:int,params:int,depth:int,base:int,cx:int
 
 
 def parameter_count(params: Column) -> Column:
-    for _ in range(4):
-        params = F.regexp_replace(params, r"<[^<>]*>|\([^()]*\)", "")
-    commas = F.length(params) - F.length(F.replace(params, F.lit(","), F.lit("")))
+    """Commas outside all brackets, plus one. Angle brackets count outside the other ones only, where they compare nothing."""
+    marks = F.regexp_extract_all(params, F.lit(r"[<>(){}\[\],]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("inner"), F.lit(0).alias("angle"), F.lit(0).alias("commas"))
+
+    def step(s, m):
+        outside = s.inner == 0
+        return F.struct(
+            (s.inner + F.when(m.isin("(", "{", "["), 1).when(m.isin(")", "}", "]"), -1).otherwise(0)).alias("inner"),
+            (s.angle + F.when(outside & (m == "<"), 1).when(outside & (m == ">"), -1).otherwise(0)).alias("angle"),
+            (s.commas + F.when(outside & (s.angle == 0) & (m == ","), 1).otherwise(0)).alias("commas"),
+        )
+
+    commas = F.aggregate(marks, start, step, lambda s: s.commas)
     return F.when(params.rlike(r"\A\s*\z"), 0).otherwise(commas + 1)
 
 
@@ -92,6 +113,9 @@ def _classify(c: Column, count_boolean_ops: bool) -> Column:
         .otherwise(0)
     )
     inner = F.when(is_control & tok.contains("?"), F.regexp_count(tok, F.lit(_TERNARY))).otherwise(0)
+    # a condition can hold lambdas with decisions of their own
+    holds_code = is_control & (F.instr(tok, "{") > 0) & (F.instr(tok, "{") < F.length(tok))
+    inner = inner + F.when(holds_code, F.regexp_count(tok, F.lit(_DECISION)) - decision).otherwise(0)
     if count_boolean_ops:
         inner = inner + F.regexp_count(tok, F.lit(r"&&|\|\|")) + c.ops
     opens = tok.endswith("{")
@@ -156,11 +180,15 @@ def _step(s: Column, t: Column) -> Column:
             cx.alias("complexity"), nesting.alias("nesting"),
         ))
 
+    # Finished methods go into lists of bounded length, so that adding one never copies all before it.
+    is_full = F.size(s.done) >= _CHUNK
+    room = F.when(is_full, F.array().cast(METHOD_TYPE)).otherwise(s.done)
     new_done = (
-        F.when(closes, F.concat(s.done, fact(last["name"], last.start, s.line, last.params, last.cx, last.nest - last.base)))
-        .when(t.kind == 2, F.concat(s.done, fact(t["name"], s.line, s.line + t.nl_tok, t.params, F.lit(1), F.lit(0))))
+        F.when(closes, F.concat(room, fact(last["name"], last.start, s.line, last.params, last.cx, last.nest - last.base)))
+        .when(t.kind == 2, F.concat(room, fact(t["name"], s.line, s.line + t.nl_tok, t.params, F.lit(1), F.lit(0))))
         .otherwise(s.done)
     )
+    new_full = F.when(is_full & (closes | (t.kind == 2)), F.concat(s.full, F.array(s.done))).otherwise(s.full)
     return F.struct(
         (s.line + t.nl).alias("line"),
         F.when(t.semi | pushes | (t.kind == 5), 0).when(control, s.pend + add).otherwise(s.pend).alias("pend"),
@@ -170,13 +198,14 @@ def _step(s: Column, t: Column) -> Column:
         .when(pops, F.slice(s.stack, 1, size - 1)).otherwise(s.stack).alias("stack"),
         new_open.alias("open"),
         new_done.alias("done"),
+        new_full.alias("full"),
     )
 
 
 @built_once
 def method_array(masked: str, count_boolean_ops: bool) -> Column:
     """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of a column of masked text."""
-    text = F.col(masked)
+    text = F.translate(F.col(masked), MARK + _END, "")
     pieces = F.split(F.regexp_replace(text, _TOKEN, MARK + "$0" + _END), MARK, -1)
     cut = F.transform(pieces, lambda p, i: _cut(p, i, count_boolean_ops))
     tokens = F.transform(cut, lambda c: _classify(c, count_boolean_ops))
@@ -188,8 +217,9 @@ def method_array(masked: str, count_boolean_ops: bool) -> Column:
         F.array().cast("array<struct<level:int,chain:int>>").alias("stack"),
         F.array().cast(_OPEN).alias("open"),
         F.array().cast(METHOD_TYPE).alias("done"),
+        F.array().cast(f"array<{METHOD_TYPE}>").alias("full"),
     )
-    return F.aggregate(tokens, start, _step, lambda s: s.done)
+    return F.aggregate(tokens, start, _step, lambda s: F.flatten(F.concat(s.full, F.array(s.done))))
 
 
 def may_have_methods(masked: Column) -> Column:

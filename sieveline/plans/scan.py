@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import paths as P
+from ..functions.text import line_count
 from ..operators import findings as FN
 from ..operators.matching import hit_lists, match_rules
 from ..operators.methods import DEFAULT_LIMITS, method_measures
@@ -56,10 +57,13 @@ def method_findings(facts: DataFrame, limits: dict | None = None) -> DataFrame:
 
 
 def large_files(files: DataFrame, limit: int = C.MAX_FILE_LINES) -> DataFrame:
-    """Findings of the file metric alone."""
-    limits = {"QA-GOD-CLASS-001": limit}
-    hits = match_rules(files.where(F.col("content").isNotNull()), (), limits={**DEFAULT_LIMITS, **limits})
-    return FN.enrich_findings(hits.where(F.col("rule_id") == "QA-GOD-CLASS-001"), METRIC_RULES, limits)
+    """Findings of the file metric alone: lines are counted, nothing is masked or cut into tokens."""
+    rule = "QA-GOD-CLASS-001"
+    hits = files.where(F.col("content").isNotNull()).select(
+        "job_id", "path", F.lit(rule).alias("rule_id"), F.lit(1).alias("line_number"),
+        F.col("path").alias("subject"), line_count("content").alias("measured"),
+    )
+    return FN.enrich_findings(hits.where(F.col("measured") > limit), METRIC_RULES, {rule: limit})
 
 
 def _one_pass(files: DataFrame, matcher, profile: str, limits: dict | None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,18 +42,47 @@ def read_latest_status(spark: SparkSession, out: str) -> DataFrame:
     return changes.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("state")).select("job_id", "state.*")
 
 
-def expired_jobs(jobs: DataFrame, hours: int = C.JOB_RETENTION_HOURS, sweep: str = "1 hour") -> DataFrame:
-    """Stream of completed jobs that have passed their retention, found in hourly sweeps of event time.
+def _retention(hours: int):
+    """Keyed state: order and completion of a job's latest state, with a timer at the end of its retention."""
 
-    The watermark trails the newest completion by the retention; when it passes an hour, the jobs completed in that hour
-    come out and leave the state. Jobs without a completion time never enter.
-    """
-    done = jobs.where(F.col("completed_at").isNotNull()).withWatermark("completed_at", f"{hours} hours")
-    return done.groupBy("job_id", F.window("completed_at", sweep).alias("w")).agg(
-        F.max("completed_at").alias("completed_at")
-    ).select("job_id", "completed_at", F.col("w.end").alias("swept_at"))
+    def advance(key, batches, state):
+        if state.hasTimedOut:
+            completed = state.get[2]
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "completed_us": [completed]})
+            return
+        last = tuple(state.get) if state.exists else None
+        for rows in batches:
+            newest = rows.sort_values(["order_us", "tie"]).iloc[-1]
+            done = None if pd.isna(newest.completed_us) else int(newest.completed_us)
+            candidate = (int(newest.order_us), int(newest.tie), done)
+            last = candidate if last is None or candidate[:2] >= last[:2] else last
+        state.update(last)
+        if last[2] is not None:
+            state.setTimeoutTimestamp(max(last[2] // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    return advance
 
 
-def stream_expired_jobs(jobs: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, **options):
-    writer = expired_jobs(jobs, **options).writeStream.outputMode("append").format("parquet")
+def expired_jobs(
+    states: DataFrame, hours: int = C.JOB_RETENTION_HOURS, time: str = "updated_at", tie: str = "event_id", lateness: str = "1 hour"
+) -> DataFrame:
+    """Stream of (job_id, completed_at): the jobs whose latest state is completed and has passed its retention.
+
+    What comes out is what ``expire_jobs`` drops from the latest states as of the newest state less ``lateness``. A job
+    leaves the state as it comes out; unfinished jobs stay, as they may still finish.
+    """
+    micros = F.unix_micros(F.col("completed_at").cast("timestamp")).alias("completed_us")
+    at = F.col(time).cast("timestamp")
+    slim = states.where(F.col(time).isNotNull()).select(
+        "job_id", at.alias("at"), F.unix_micros(at).alias("order_us"), F.coalesce(F.col(tie).cast("bigint"), F.lit(-1)).alias("tie"), micros
+    )
+    expired = slim.withWatermark("at", lateness).groupBy("job_id").applyInPandasWithState(
+        _retention(hours), "job_id string, completed_us bigint", "order_us bigint, tie bigint, completed_us bigint", "append", "EventTimeTimeout"
+    )
+    return expired.select("job_id", F.timestamp_micros("completed_us").alias("completed_at"))
+
+
+def stream_expired_jobs(states: DataFrame, out: str, checkpoint: str, trigger: dict | None = None, **options):
+    writer = expired_jobs(states, **options).writeStream.outputMode("append").format("parquet")
     return _start(writer.option("path", out).option("checkpointLocation", checkpoint), trigger)

@@ -187,6 +187,38 @@ def test_only_java_and_broken_texts(files):
     assert [(r.path, r["name"]) for r in method_facts(table).collect()] == [("closing.java", "g")]
 
 
+def facts_of(files, text):
+    return [(r["name"], r.start_line, r.n_params, r.complexity, r.nesting) for r in method_facts(files({"a.java": text})).collect()]
+
+
+def test_brackets_of_any_depth(files):
+    deep = "f(" * 30 + "1" + ")" * 30
+    assert facts_of(files, f"void g() {{ for (int i = {deep}; i < {deep}; i++) {{ if ({deep} > 1) {{ x(); }} }} }}") == [("g", 1, 0, 3, 2)]
+    assert facts_of(files, "void f(@Foo(bar = @Baz(x = g(1))) String a) { if (a) x(); }") == [("f", 1, 1, 2, 1)]
+    assert facts_of(files, "void f(@Roles({A, B}) String a, int b) { }") == [("f", 1, 2, 1, 0)]
+    assert facts_of(files, "void f(Map<A,Map<B,Map<C,Map<D,Map<E,Map<G,H>>>>>> a, int b) { }") == [("f", 1, 2, 1, 0)]
+    assert facts_of(files, "void f(@Min(a > b, c) int a, @X(y < z) int b) { }") == [("f", 1, 2, 1, 0)]
+
+
+def test_lambdas_in_conditions(files):
+    assert facts_of(files, "void f() { if (xs.anyMatch(x -> { return x > 1; })) { if (a) { y(); } } }") == [("f", 1, 0, 3, 2)]
+    assert facts_of(files, "void f() { while (xs.any(x -> { if (x) return a; return b; })) { y(); } }") == [("f", 1, 0, 3, 1)]
+
+
+def test_annotation_with_braces_belongs_to_its_method(files):
+    assert facts_of(files, "class A {\n  @Test(groups = {B})\n  public void f() { }\n}") == [("f", 2, 0, 1, 0)]
+
+
+def test_markers_in_the_text(files):
+    assert facts_of(files, "void f() {\x01 if (a) \x02 x(); }") == [("f", 1, 0, 2, 1)]
+
+
+def test_very_many_methods_in_one_file(files):
+    text = "class A {\n" + "".join(f"void m{i}(int a) {{ if (a) x(); }}\n" for i in range(5_000)) + "}\n"
+    rows = method_facts(files({"a.java": text})).select("name", "start_line", "complexity").collect()
+    assert [tuple(r) for r in rows] == [(f"m{i}", i + 2, 2) for i in range(5_000)]
+
+
 def test_boolean_operators_only_on_request(files):
     table = files({"a.java": "void f() { if (a && b || c) { x = d && e; } }"})
     assert method_facts(table).first().complexity == 2
