@@ -69,8 +69,8 @@ def test_prompt_fields(spark):
     chunks = spark.createDataFrame([("f.py", 1, 3, "co{file}de", "python", 5, 9)],
                                    "file_path string, chunk_index int, total_chunks int, content string, language string, start_line int, end_line int")
     text = CH.chunk_prompts(chunks).first().prompt
-    assert "Project: Unknown" in text and "f.py (part 2 of 3, lines 5 to 9)" in text and "co{file}de" in text
-    assert "Project: Shop" in CH.chunk_prompts(chunks, "Shop").first().prompt
+    assert text.startswith(f"Excerpt 2/3 of f.py, lines 5-9, written in python. It belongs to {C.PROMPT_PROJECT}.") and "co{file}de" in text
+    assert "It belongs to Shop." in CH.chunk_prompts(chunks, "Shop").first().prompt
 
 
 def test_project_prompts_hold_every_summary_once(spark):
