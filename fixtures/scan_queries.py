@@ -11,7 +11,7 @@ from sieveline.operators import findings as FN
 from sieveline.operators import matching as MT
 from sieveline.operators import methods as ME
 from sieveline.operators import metrics as MR
-from sieveline.operators.rule_catalog import CATALOG, QUALITY_RULES, SECURITY_RULES, rules_frame, rules_from_frame
+from sieveline.operators.rule_catalog import QUALITY_RULES, SECURITY_RULES, rules_frame
 from sieveline.plans import scan as SC
 
 from . import derived as D
@@ -171,12 +171,12 @@ def rule_cross(spark, sf):
     SELECT 'USER-RETURN' AS rule_id, count(*) AS hits FROM (SELECT unnest(string_split(content, {S.NL})) AS line FROM src)
     WHERE regexp_matches(line, '\\breturn\\s+\\w+;')"""))
 def user_rules(spark, sf):
-    """A rule table of the user's own, read back and applied like the built-in ones."""
+    """A rule table of the user's own, taken through the one-pass scan like the built-in rules."""
     table = spark.createDataFrame(
         [("USER-RETURN", "t", "d", "r", "INFO", "CODE_QUALITY", "USER", r"\breturn\s+\w+;", "raw", "line", ["return"])],
         rules_frame(spark).schema)
-    hits = MT.match_rules(source_files(spark, sf), rules_from_frame(table))
-    return hits.groupBy("rule_id").agg(F.count("*").alias("hits"))
+    found = SC.all_findings(source_files(spark, sf), rules=table, metrics=False)
+    return found.groupBy("rule_id").agg(F.count("*").alias("hits"))
 
 
 @query("owasp_rollup", S.with_ctes(*S.SECURITY_CTES, select="SELECT owasp_category, count(*) AS findings FROM security JOIN (VALUES "

@@ -275,11 +275,13 @@ def parse_chunk_replies(spark, sf):
 _SEVERITY = "CASE WHEN upper(s) IN ('" + "', '".join(C.SEVERITIES) + "') THEN upper(s) ELSE 'INFO' END"
 
 
-@query("reply_findings", S.with_ctes(_REPLIES, _PARSED, """items AS (
+_ITEMS = """items AS (
     SELECT *, unnest(fs) AS f, unnest(range(0, len(fs))) AS pos FROM (
-        SELECT *, CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN json_extract(j, '$.findings[*]') ELSE [] END AS fs FROM parsed))""",
-    "fields AS (SELECT *, coalesce(json_extract_string(f, '$.severity'), 'INFO') AS s, coalesce(json_extract_string(f, '$.title'), '') AS t FROM items)",
-    select=f"""
+        SELECT *, CASE WHEN json_type(j, '$.findings') = 'ARRAY' THEN json_extract(j, '$.findings[*]') ELSE [] END AS fs FROM parsed))"""
+_FIELDS = "fields AS (SELECT *, coalesce(json_extract_string(f, '$.severity'), 'INFO') AS s, coalesce(json_extract_string(f, '$.title'), '') AS t FROM items)"
+
+
+@query("reply_findings", S.with_ctes(_REPLIES, _PARSED, _ITEMS, _FIELDS, select=f"""
     SELECT job_id, {_SEVERITY} AS severity, t AS title, coalesce(json_extract_string(f, '$.description'), '') AS description,
            coalesce(json_extract_string(f, '$.recommendation'), '') AS recommendation, file_path,
            CASE WHEN json_exists(f, '$.lineHint') THEN coalesce(try_cast(json_extract_string(f, '$.lineHint') AS BIGINT), 0) END AS line_number,
@@ -325,16 +327,19 @@ def top_recommendations(spark, sf):
 
 
 @query("attach_responses", S.with_ctes(_DOCS, chunk_sql("docs"), """answers AS (
-    SELECT 'job-' || lang AS job_id, 'docs/d' || doc_id || '.md' AS path, 0 AS chunk_index, 'q' || quality AS reply
-    FROM documents JOIN labels USING (doc_id))""", select="""
+    SELECT 'job-' || lang AS job_id, 'docs/d' || doc_id || '.md' AS path, i AS chunk_index, 'q' || quality || '-' || i AS reply
+    FROM (SELECT *, unnest(range(0, n_chars // 1000 + 1)) AS i FROM documents JOIN labels USING (doc_id)))""", select="""
     SELECT path AS file_path, chunk_index, end_line::BIGINT AS end_line, reply FROM chunks JOIN answers USING (job_id, path, chunk_index)"""))
 def attach_responses(spark, sf):
+    """A reply to every chunk of the labelled documents, and replies to chunks that do not exist."""
     chunks = CH.chunk_text(D.documents(spark, sf)).withColumnRenamed("path", "file_path")
-    docs = D.table(spark, sf, "documents", "doc_id", "lang")
+    docs = D.table(spark, sf, "documents", "doc_id", "lang", "n_chars")
+    asked = F.sequence(F.lit(0), F.floor(F.col("n_chars") / 1000).cast("int")).alias("asked")
     answers = docs.join(D.table(spark, sf, "labels"), "doc_id").select(
         F.concat(F.lit("job-"), "lang").alias("job_id"),
         F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"),
-        F.lit(0).alias("chunk_index"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("reply"))
+        F.concat(F.lit("q"), F.col("quality").cast("string")).alias("q"), F.explode(asked).alias("chunk_index"))
+    answers = answers.withColumn("reply", F.concat_ws("-", "q", F.col("chunk_index").cast("string"))).drop("q")
     return R.attach_responses(chunks, answers).select(
         "file_path", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "end_line")], "reply")
 
@@ -616,26 +621,30 @@ _REPORT_COLUMNS = ("job_id", "status", "project_name", "total_findings", *[f"{s.
 @query("report", S.with_ctes(
     *S.SECURITY_CTES, *S.QUALITY_CTES, S.LARGE_FILES, S.rule_table(),
     "hits AS (SELECT * FROM security UNION ALL SELECT * FROM quality UNION ALL SELECT job_id, path, rule_id, line_number FROM large)",
-    f"counts AS (SELECT job_id, count(*) AS total, {', '.join(chr(10) + f'count(*) FILTER (severity = {quote(s)}) AS {s.lower()}' for s in C.SEVERITIES)} FROM hits JOIN rules USING (rule_id) GROUP BY 1)",
-    f"stats AS (SELECT job_id, count(*) AS total_files, sum({S.line_count_fast('content')})::BIGINT AS total_lines, "
-    f"count(*) FILTER ({S.language()} = 'java') AS java_files FROM src GROUP BY 1)",
+    _REPLIES, _PARSED.replace("parsed AS", "reply_parsed AS"), _ITEMS.replace("FROM parsed", "FROM reply_parsed"), _FIELDS,
+    f"found AS (SELECT job_id, severity FROM hits JOIN rules USING (rule_id) UNION ALL SELECT job_id, {_SEVERITY} FROM fields)",
+    f"counts AS (SELECT job_id, count(*) AS total, {', '.join(chr(10) + f'count(*) FILTER (severity = {quote(s)}) AS {s.lower()}' for s in C.SEVERITIES)} FROM found GROUP BY 1)",
+    f"stats AS (SELECT job_id, count(*) AS total_files, sum({S.line_count_fast('content')})::BIGINT AS total_lines FROM src GROUP BY 1)",
+    f"languages AS (SELECT job_id, string_agg(language || '=' || n, ',' ORDER BY language) AS files_by_language FROM "
+    f"(SELECT job_id, {S.language()} AS language, count(*) AS n FROM src GROUP BY 1, 2) GROUP BY 1)",
     _PROJECT, select=f"""
     SELECT 'job-' || c_custkey AS job_id, 'COMPLETED' AS status,
            CASE WHEN c_custkey % 6 <> 0 THEN c_name ELSE '{C.DEFAULT_PROJECT}' END AS project_name, coalesce(total, 0) AS total_findings,
            {', '.join(f"coalesce({s.lower()}, 0) AS {s.lower()}_count" for s in C.SEVERITIES)},
-           coalesce(total_files, 0) AS total_files, coalesce(total_lines, 0) AS total_lines, coalesce(java_files, 0) AS java_files,
+           coalesce(total_files, 0) AS total_files, coalesce(total_lines, 0) AS total_lines, coalesce(files_by_language, '') AS files_by_language,
            CASE WHEN c_custkey % 3 = 0 THEN '{C.SKIPPED_SUMMARY}' WHEN {_NOTHING} THEN '{C.UNPARSED_PROJECT}'
                 ELSE coalesce(json_extract_string(j, '$.executiveSummary'), '') END AS executive_summary,
            CASE WHEN c_custkey % 3 = 0 THEN '' WHEN {_NOTHING} THEN '{C.UNPARSED_ASSESSMENT}'
                 ELSE coalesce(json_extract_string(j, '$.architecturalAssessment'), '') END AS architectural_assessment
     FROM customer LEFT JOIN counts ON counts.job_id = 'job-' || c_custkey LEFT JOIN stats ON stats.job_id = 'job-' || c_custkey
-    LEFT JOIN parsed ON parsed.job_id = 'job-' || c_custkey"""))
+    LEFT JOIN languages ON languages.job_id = 'job-' || c_custkey LEFT JOIN parsed ON parsed.job_id = 'job-' || c_custkey"""))
 def report(spark, sf):
-    """The report without the method metrics, which SQL cannot restate."""
+    """Scanned and model findings in one report, without the method metrics, which SQL cannot restate."""
     scans = RP.write_scans(source_files(spark, sf), shared_folder(spark, "scans"))
     found = SC.findings_of(scans).where(F.col("source") != "JAVAPARSER_AST")
-    return _reports(spark, sf, scans, found).select(
-        *_REPORT_COLUMNS, F.coalesce(F.try_element_at("files_by_language", F.lit("java")), F.lit(0)).alias("java_files"))
+    found = found.unionByName(R.reply_findings(R.parse_chunk_replies(D.replies(spark, sf))))
+    languages = F.transform(F.array_sort(F.map_entries("files_by_language")), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
+    return _reports(spark, sf, scans, found).select(*_REPORT_COLUMNS, F.array_join(languages, ",").alias("files_by_language"))
 
 
 @query("report_json", S.with_ctes(*S.SECURITY_CTES, S.rule_table(), select="""

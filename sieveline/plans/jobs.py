@@ -10,9 +10,12 @@ from ..functions import constants as C
 STATUS_COLUMNS = ("job_id", "status", "project_name", "started_at", "completed_at", "error_message", "total_findings")
 
 
-def save_jobs(states: DataFrame, path: str, time: str = "updated_at") -> None:
-    """Append states, one partition per day, so that reading recent ones prunes by date."""
-    states.withColumn("updated_on", F.to_date(time)).write.mode("append").partitionBy("updated_on").parquet(path)
+def save_jobs(states: DataFrame, path: str, time: str = "updated_at", files_per_day: int = 8) -> None:
+    """Append states, one partition per day, so that reading recent ones prunes by date. The states of a day are dealt over
+    ``files_per_day`` tasks, however many tasks they come from, so that a day gets few files and a busy day no hot task."""
+    dated = states.withColumn("updated_on", F.to_date(time)).withColumn("_share", F.pmod(F.xxhash64("job_id", time), F.lit(files_per_day)))
+    dealt = dated.repartition("updated_on", "_share").drop("_share")
+    dealt.write.mode("append").partitionBy("updated_on").parquet(path)
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.text import line_count
 from ..operators import findings as FN
 from ..operators.matching import hit_lists, match_rules
 from ..operators.methods import DEFAULT_LIMITS, method_measures
-from ..operators.rule_catalog import METRIC_RULES, quality_rules, security_rules
+from ..operators.rule_catalog import METRIC_RULES, Rule, quality_rules, rules_from_frame, security_rules
 
 
 def scan_scope(files: DataFrame, excluded_names=()) -> DataFrame:
@@ -66,44 +66,56 @@ def large_files(files: DataFrame, limit: int = C.MAX_FILE_LINES) -> DataFrame:
     return FN.enrich_findings(hits.where(F.col("measured") > limit), METRIC_RULES, {rule: limit})
 
 
-def _one_pass(files: DataFrame, matcher, profile: str, limits: dict | None) -> DataFrame:
+def _rule_set(rules, profile: str) -> tuple[Rule, ...]:
+    """The built-in rules of a profile, or the caller's own: a sequence of rules or a rule table."""
+    if rules is None:
+        return security_rules(profile) + quality_rules(profile)
+    return rules_from_frame(rules) if isinstance(rules, DataFrame) else tuple(rules)
+
+
+def _one_pass(files: DataFrame, matcher, rules: tuple[Rule, ...], limits: dict | None, metrics: bool) -> DataFrame:
     return matcher(
-        files.where(F.col("content").isNotNull()), security_rules(profile) + quality_rules(profile),
-        in_scope=P.in_scan_scope("path", "content"), limits={**DEFAULT_LIMITS, **(limits or {})},
+        files.where(F.col("content").isNotNull()), rules,
+        in_scope=P.in_scan_scope("path", "content"), limits={**DEFAULT_LIMITS, **(limits or {})} if metrics else None,
     )
 
 
-def _to_findings(hits: DataFrame, limits: dict | None, paths_unique: bool) -> DataFrame:
+def _to_findings(hits: DataFrame, rules: tuple[Rule, ...], limits: dict | None, paths_unique: bool) -> DataFrame:
     """Security findings are distinct per (rule, file, line), their paths normalised; the others are given as often as
     they came."""
-    security = security_rules()
-    is_security = F.col("rule_id").isin([r.rule_id for r in security])
+    is_security = F.col("rule_id").isin([r.rule_id for r in rules if r.category == "SECURITY"])
     hits = hits.withColumn("path", F.when(is_security, P.normalize_path("path")).otherwise(F.col("path")))
     if not paths_unique:
         columns = hits.columns
         copies = F.sequence(F.lit(1), F.when(is_security, 1).otherwise(F.col("n")))
         hits = hits.groupBy(*columns).agg(F.count("*").alias("n")).select(*columns, F.explode(copies).alias("_copy")).drop("_copy")
-    return FN.enrich_findings(hits, security + quality_rules() + METRIC_RULES, limits)
+    given = {r.rule_id for r in rules}
+    return FN.enrich_findings(hits, (*rules, *[r for r in METRIC_RULES if r.rule_id not in given]), limits)
 
 
-def file_scans(files: DataFrame, profile: str = "documented", limits: dict | None = None) -> DataFrame:
+def file_scans(
+    files: DataFrame, profile: str = "documented", limits: dict | None = None, rules=None, metrics: bool = True
+) -> DataFrame:
     """One small row per file: (job_id, path, lines, hits), from a single pass over the texts with all rules.
 
     Findings and file statistics both come out of this table. Written once, it spares every later step the texts.
+    ``rules``, a sequence of rules or a rule table, takes the place of the built-in ones; ``metrics`` can be left out.
     """
-    return _one_pass(files, hit_lists, profile, limits)
+    return _one_pass(files, hit_lists, _rule_set(rules, profile), limits, metrics)
 
 
-def findings_of(scans: DataFrame, limits: dict | None = None, paths_unique: bool = False) -> DataFrame:
-    """Findings of a written table of file scans."""
-    return _to_findings(scans.select("job_id", "path", F.inline("hits")), limits, paths_unique)
+def findings_of(scans: DataFrame, limits: dict | None = None, paths_unique: bool = False, rules=None) -> DataFrame:
+    """Findings of a written table of file scans; ``rules`` are those it was made with."""
+    hits = scans.select("job_id", "path", F.inline("hits"))
+    return _to_findings(hits, _rule_set(rules, "documented"), limits, paths_unique)
 
 
 def all_findings(
     files: DataFrame, reply_findings: DataFrame | None = None, profile: str = "documented",
-    limits: dict | None = None, paths_unique: bool = False,
+    limits: dict | None = None, paths_unique: bool = False, rules=None, metrics: bool = True,
 ) -> DataFrame:
     """Security, quality and metric findings of every file, each text read and masked once, plus the findings taken
-    from model replies if there are any."""
-    out = _to_findings(_one_pass(files, match_rules, profile, limits), limits, paths_unique)
+    from model replies if there are any. ``rules`` and ``metrics`` as in ``file_scans``."""
+    chosen = _rule_set(rules, profile)
+    out = _to_findings(_one_pass(files, match_rules, chosen, limits, metrics), chosen, limits, paths_unique)
     return out if reply_findings is None else out.unionByName(reply_findings)

@@ -130,6 +130,8 @@ def test_tree(spark, tmp_path):
     tree(tmp_path)
     rows = {r.path: r.content for r in TR.scan_tree(spark, str(tmp_path), "j", max_bytes=1000).collect()}
     assert rows == {"src/A.java": "new Random()\n", "a b/D.py": "é"}
+    left_out = {r.path: (r.length, r.reject_reason) for r in TR.rejected_files(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert left_out == {"bad.py": (2, "not text"), "big.java": (5000, "larger than 1000 bytes")}
     assert sorted(r.path for r in TR.find_files(spark, str(tmp_path), "*.java").collect()) == ["big.java", "build/C.java", "src/A.java"]
     size = TR.tree_size(spark, str(tmp_path)).first()
     assert (size.bytes, size.files) == (sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path) for f in fs), 6)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline.functions import json_values as J
 from sieveline.functions import text as T
 from sieveline.operators import chunks as CH
+from sieveline.operators.rule_catalog import Rule, rules_frame
 from sieveline.plans import jobs as JB
 from sieveline.plans import report as RP
 from sieveline.plans import scan as SC
@@ -54,6 +55,16 @@ def test_stream_expires_what_the_batch_drops(spark, tmp_path):
     assert {r.job_id for r in got.collect()} == {"old", "tie"}
 
 
+def test_rule_table_goes_through_the_one_pass_scan(spark, files, tmp_path):
+    own = (Rule("OWN-SEC", "HIGH", r"evil\(", "t", "d", "r", "SECURITY", "OWN", "masked", "line"),
+           Rule("OWN-Q", "INFO", "todo", "t", "d", "r", "CODE_QUALITY", "OWN", "raw", "line"))
+    source = files({"a.java": "evil() // todo\nnew Random()\n", "src/test/b.java": "evil() // todo\n"}, "j")
+    want = [("OWN-Q", "a.java", 1), ("OWN-Q", "src/test/b.java", 1), ("OWN-SEC", "a.java", 1)]
+    scans = RP.write_scans(source, str(tmp_path / "scans"), rules=own)
+    for found in (SC.all_findings(source, rules=rules_frame(spark, own)), SC.findings_of(scans, rules=own), SC.all_findings(source, rules=own, metrics=False)):
+        assert sorted((r.rule_id, r.file_path, r.line_number) for r in found.collect()) == want
+
+
 def test_failed_jobs_line_up_with_reports(spark):
     failures = spark.sql("SELECT 'j' AS job_id, CAST(NULL AS STRING) AS project_name, TIMESTAMP_NTZ '2024-01-01' AS started_at, "
                          "TIMESTAMP_NTZ '2024-01-02' AS completed_at, 'E' AS error_message")
