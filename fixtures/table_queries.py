@@ -212,17 +212,26 @@ def inference_requests(spark, sf):
         read("input", "m-2", "$.model_id", "$.input", "$.parameters.max_new_tokens"))
 
 
+def _turns(spark, sf):
+    return D.table(spark, sf, "conversations").select(
+        F.concat(F.lit("job-"), (F.col("conv_id") % 20).cast("string")).alias("job_id"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"),
+        F.col("turn").alias("chunk_index"), F.col("text").alias("summary"))
+
+
 @query("project_prompts", f"""
     SELECT 'job-' || (conv_id % 20) AS job_id, count(*) AS summaries,
            md5({fill_sql(CH.PROJECT_PROMPT, {"project": "'Unknown'", "summaries": "string_agg(text, chr(10) || '- ' ORDER BY 'c' || conv_id, turn)"})}) AS prompt
     FROM conversations GROUP BY 1""")
 def project_prompts(spark, sf):
-    talk = D.table(spark, sf, "conversations")
-    summaries = talk.select(
-        F.concat(F.lit("job-"), (F.col("conv_id") % 20).cast("string")).alias("job_id"),
-        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("file_path"),
-        F.col("turn").alias("chunk_index"), F.col("text").alias("summary"))
-    return CH.project_prompts(summaries).select("job_id", "summaries", F.md5("prompt").alias("prompt"))
+    return CH.project_prompts(_turns(spark, sf)).select("job_id", "summaries", F.md5("prompt").alias("prompt"))
+
+
+@query("project_bullets", """
+    SELECT 'job-' || (conv_id % 20) AS job_id, text AS bullet,
+           row_number() OVER (PARTITION BY conv_id % 20 ORDER BY 'c' || conv_id, turn, text) AS ordinal FROM conversations""")
+def project_bullets(spark, sf):
+    return CH.project_bullets(_turns(spark, sf))
 
 
 @query("project_prompt_parts", "SELECT 'all' AS job_id, md5(text) AS summary, count(*) AS n FROM conversations GROUP BY 2")

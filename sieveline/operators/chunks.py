@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -131,32 +131,57 @@ def chunk_prompts(chunks: DataFrame, project: Column | str | None = None, templa
     }))
 
 
-def project_prompts(
-    summaries: DataFrame, project: Column | None = None, per_prompt: int = 5000, template: str = PROJECT_PROMPT
-) -> DataFrame:
-    """(job_id, part, parts, summaries, prompt): the chunk summaries of a project as one bullet list, in file and
-    chunk order.
+def project_bullets(summaries: DataFrame, run: int = 1000) -> DataFrame:
+    """(job_id, ordinal, bullet): the chunk summaries of a project in file and chunk order, numbered from 1 without gaps.
 
-    A project of up to ``per_prompt`` summaries gives one prompt. A larger one is spread by runs of chunks over as many
-    prompts as it needs, so that no task ever holds all summaries of a project or of a large file; every summary is in
-    exactly one prompt. Expects job_id, file_path, chunk_index, summary.
+    The form is the same at any size. Rows are numbered within runs of ``run`` chunks of a file, and only the sizes of
+    the runs are summed over a project, so that no task has to hold a project or a large file. Expects job_id, file_path,
+    chunk_index, summary.
     """
-    run = F.floor(F.col("chunk_index") / max(1, per_prompt // 10))
-    sizes = summaries.groupBy("job_id").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / per_prompt).cast("int").alias("parts")
-    # only the projects that need more than one prompt have to be looked up
-    large = sizes.where(F.col("_n") > per_prompt).select("job_id", parts)
-    placed = summaries.join(large, "job_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn(
-        "part", F.pmod(F.xxhash64(F.col("file_path"), run), F.col("parts")).cast("int")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("file_path", "chunk_index", "summary")))
-    bullets = F.array_join(F.transform(ordered, lambda s: s.summary), "\n- ")
-    grouped = placed.groupBy("job_id", "part", "parts").agg(F.count("*").alias("summaries"), bullets.alias("_bullets"))
+    keys = ["job_id", "file_path", "_run"]
+    rows = summaries.select("job_id", "file_path", "chunk_index", "summary", F.floor(F.col("chunk_index") / run).alias("_run"))
+    inside = Window.partitionBy(*keys).orderBy("chunk_index", "summary")
+    before = Window.partitionBy("job_id").orderBy("file_path", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    numbered = rows.withColumn("_i", F.row_number().over(inside)).join(starts, same)
+    return numbered.select("job_id", (F.col("_start") + F.col("_i")).alias("ordinal"), F.col("summary").alias("bullet"))
+
+
+def _prompts(bullets: DataFrame, keys, project: Column | None, template: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "bullet")))
+    text = F.array_join(F.transform(ordered, lambda b: b.bullet), "\n- ")
+    grouped = bullets.groupBy(*keys).agg(F.count("*").alias("summaries"), text.alias("_bullets"))
     name = project if project is not None else F.lit(None).cast("string")
-    return grouped.select(
-        "job_id", "part", "parts", "summaries",
-        fill(template, {"project": F.coalesce(name, F.lit(C.PROMPT_PROJECT)), "summaries": F.col("_bullets")}).alias("prompt"),
-    )
+    values = {"project": F.coalesce(name, F.lit(C.PROMPT_PROJECT)), "summaries": F.col("_bullets")}
+    return grouped.select(*keys, "summaries", fill(template, values).alias("prompt"))
+
+
+def prompt_pages(
+    bullets: DataFrame, page_size: int, project: Column | None = None, template: str = PROJECT_PROMPT
+) -> DataFrame:
+    """(job_id, part, parts, summaries, prompt): the bullets of ``project_bullets`` as prompts of ``page_size`` bullets,
+    the last one of a job with what is left. Parts follow the order of the bullets and are numbered from 0 without gaps."""
+    if page_size < 1:
+        raise ValueError("page_size must be at least 1")
+    sizes = bullets.groupBy(F.col("job_id").alias("_job")).agg(F.ceil(F.count("*") / page_size).cast("int").alias("parts"))
+    part = F.floor((F.col("ordinal") - 1) / page_size).cast("int")
+    placed = bullets.withColumn("part", part).join(sizes, F.col("job_id").eqNullSafe(F.col("_job")))
+    return _prompts(placed, ("job_id", "part", "parts"), project, template)
+
+
+def project_prompts(
+    summaries: DataFrame, project: Column | None = None, per_prompt: int | None = None, template: str = PROJECT_PROMPT
+) -> DataFrame:
+    """(job_id, part, parts, summaries, prompt): the chunk summaries of a project as one bullet list in one prompt, however
+    many there are. With ``per_prompt`` they are paged by ``prompt_pages``. Expects job_id, file_path, chunk_index, summary.
+    """
+    if per_prompt is not None:
+        return prompt_pages(project_bullets(summaries), per_prompt, project, template)
+    bullets = summaries.select("job_id", F.struct("file_path", "chunk_index").alias("ordinal"), F.col("summary").alias("bullet"))
+    whole = _prompts(bullets, ("job_id",), project, template)
+    return whole.select("job_id", F.lit(0).alias("part"), F.lit(1).alias("parts"), "summaries", "prompt")
 
 
 def inference_requests(

@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from sieveline.operators import chunks as CH
+from sieveline.operators import replies as R
 from sieveline.plans import report as RP
 
 
@@ -31,3 +33,41 @@ def test_pages_are_numbered_without_gaps(spark):
     rows = RP.finding_pages(found, page_size=10).collect()
     assert sorted(r.page for r in rows) == list(range(len(rows))) and {r.pages for r in rows} == {len(rows)}
     assert sum(len(r.security_findings) for r in rows) == 400
+
+
+def _summaries(spark, n):
+    return spark.range(n).selectExpr(
+        "'j' AS job_id", "concat('f', lpad(CAST(id % 7 AS STRING), 2, '0')) AS file_path", "CAST(id DIV 7 AS INT) AS chunk_index", "concat('s', id) AS summary")
+
+
+def _in_order(n):
+    return [f"s{i}" for i in sorted(range(n), key=lambda i: (i % 7, i // 7))]
+
+
+def test_project_prompt_is_one_at_any_size(spark):
+    rows = CH.project_prompts(_summaries(spark, 12_000), template="{summaries}").collect()
+    assert [(r.part, r.parts, r.summaries) for r in rows] == [(0, 1, 12_000)] and rows[0].prompt.split("\n- ") == _in_order(12_000)
+
+
+def test_bullets_are_numbered_without_gaps_and_pages_follow_them(spark):
+    bullets = CH.project_bullets(_summaries(spark, 12_000))
+    got = sorted((r.ordinal, r.bullet) for r in bullets.collect())
+    assert got == list(enumerate(_in_order(12_000), 1))
+    pages = sorted(CH.prompt_pages(bullets, 5000, template="{summaries}").collect())
+    assert [(r.part, r.parts, r.summaries) for r in pages] == [(0, 3, 5000), (1, 3, 5000), (2, 3, 2000)]
+    assert [s for r in pages for s in r.prompt.split("\n- ")] == _in_order(12_000)
+    nulls = spark.createDataFrame([(None, None, None, "a"), (None, None, None, "b"), (None, "f", 0, "c")],
+                                  "job_id string, file_path string, chunk_index int, summary string")
+    assert sorted((r.ordinal, r.bullet) for r in CH.project_bullets(nulls).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_several_replies_of_a_job_make_one_report(spark):
+    replies = spark.createDataFrame([
+        ("j", 1, '{"executiveSummary": "a", "architecturalAssessment": "same", "topRecommendations": ["z"]}'),
+        ("j", 0, '{"executiveSummary": "b", "architecturalAssessment": "same", "topRecommendations": ["y", "y"]}')],
+        "job_id string, part int, reply string")
+    requests = spark.createDataFrame([("j", "P", True)], "job_id string, project_name string, include_llm boolean")
+    requests = requests.withColumn("started_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    files = spark.createDataFrame([("j", "f", "x")], "job_id string, path string, content string")
+    rows = RP.build_reports(requests, files, _findings(spark, 1, "t"), R.parse_project_replies(replies)).collect()
+    assert [(r.executive_summary, r.architectural_assessment, r.top_recommendations) for r in rows] == [("b\n\na", "same", ["y", "y", "z"])]
