@@ -1,7 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from fixtures import scan_queries, table_queries  # noqa: F401
+from fixtures.registry import QUERIES
+from fixtures.source_tables import BIG_AT, BIG_EVERY, DIRECTORIES, EXTENSIONS, N
 from sieveline.operators import chunks as CH
 from sieveline.operators import replies as R
 from sieveline.plans import report as RP
@@ -71,3 +75,44 @@ def test_several_replies_of_a_job_make_one_report(spark):
     files = spark.createDataFrame([("j", "f", "x")], "job_id string, path string, content string")
     rows = RP.build_reports(requests, files, _findings(spark, 1, "t"), R.parse_project_replies(replies)).collect()
     assert [(r.executive_summary, r.architectural_assessment, r.top_recommendations) for r in rows] == [("b\n\na", "same", ["y", "y", "z"])]
+
+
+@pytest.fixture(scope="module")
+def one_method_each(spark, tmp_path_factory):
+    """Tables of five Java files, one snippet and one project each: the project's number is the snippet's. Project 23 has a
+    model reply with one HIGH finding."""
+    at = {}
+    for key in range(3, 20_000, 3):
+        java = EXTENSIONS[key % len(EXTENSIONS)] == ".java" and DIRECTORIES[key % len(DIRECTORIES)] == "lib/core"
+        if java and key % BIG_EVERY != BIG_AT:
+            at.setdefault((key * 7 + key // 32) % N, key)
+    folder = str(tmp_path_factory.mktemp("tables"))
+    kept = (17, 23, 24, 25, 30)
+    tables = {
+        "orders": ([(at[n], n) for n in kept], "o_orderkey bigint, o_custkey bigint"),
+        "customer": ([(n, f"C{n}") for n in kept], "c_custkey bigint, c_name string"),
+        "events": ([(8, 23)], "event_id bigint, user_id bigint"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+METHODS = {23: {("QA-PARAMS-001", "LOW", 7)}, 24: {("QA-COMPLEXITY-001", "MEDIUM", 7), ("QA-NESTING-001", "LOW", 7)},
+           25: {("QA-LONG-METHOD-001", "MEDIUM", 7)}}
+NOTES = {17: {("QA-TODO-001", "INFO", n) for n in (7, 8)}}
+
+
+def test_all_findings_have_the_method_metrics(spark, one_method_each):
+    got = {}
+    for r in QUERIES["all_findings"](spark, one_method_each).collect():
+        got.setdefault(int(r.job_id[4:]), set()).add((r.rule_id, r.severity, r.line_number))
+    assert got == METHODS | NOTES
+
+
+def test_reports_count_and_list_the_method_metrics(spark, one_method_each):
+    counts = {int(r.job_id[4:]): (r.total_findings, r.high_count, r.medium_count, r.low_count, r.info_count)
+              for r in QUERIES["report"](spark, one_method_each).collect()}
+    assert counts == {17: (2, 0, 0, 0, 2), 23: (2, 1, 0, 1, 0), 24: (2, 0, 1, 1, 0), 25: (1, 0, 1, 0, 0), 30: (0, 0, 0, 0, 0)}
+    listed = {int(r.job_id[4:]): (r.total_findings, r.listed) for r in QUERIES["report_json"](spark, one_method_each).collect()}
+    assert listed == {17: (2, 2), 23: (2, 2), 24: (2, 2), 25: (1, 1), 30: (0, 0)}
