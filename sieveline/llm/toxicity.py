@@ -93,7 +93,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     marked = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`toxic`").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in marked.collect()], "doc_id long, toxic int")
-    train = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # sample_rows rows at most
+    # one row of each doc_id, so that there are sample_rows rows at most and no repeated id outweighs the others
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    train = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(one).select("text", "toxic")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
