@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import SparkSession
-
-
-@cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="sieveline-")
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, the folder all executors share. Only where that is not set, as in
-    a local test, a temporary folder of our own is used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _local_base()
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share; where that is unset, below the warehouse,
+    which they share too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/sieveline-work"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame's rows as a written table in the shared folder: computed once, and a lost executor costs a re-read only."""
+    path = shared_folder(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
