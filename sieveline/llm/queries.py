@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_codec, fm_dedup, html_text, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, vector_tree
+from sieveline.llm import bpe_codec, fm_dedup, html_text, ngram_join, packing, quality, resampling, suffix_dedup, token_counts, toxicity, vector_tree
 from sieveline.llm.tables import table
 
 
@@ -54,8 +54,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text,
+    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text, op11_resampling,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -97,4 +101,28 @@ FROM d LEFT JOIN marks USING (r) LEFT JOIN rest USING (r)
 """
 
 
-ORACLES = {"op4_ngram_join": _JACCARD, "op7_substring_dedup": _without_repeats(fm_dedup.WINDOW), "op9_suffix_dedup": _without_repeats(suffix_dedup.WINDOW)}
+# CRC-32 of each distinct word from its bytes: the table of 256 remainders comes from the reflected polynomial.
+_RESAMPLING = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+w AS MATERIALIZED (
+  SELECT kind, r, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x
+  FROM (SELECT 's' AS kind, row_number() OVER () AS r, doc_id, text FROM documents UNION ALL SELECT 't', NULL, NULL, text FROM benchmark)),
+named AS MATERIALIZED (
+  SELECT x, xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(x)), 1), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 10000 AS b
+  FROM (SELECT DISTINCT x FROM w), crc),
+n AS MATERIALIZED (SELECT b, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM w JOIN named USING (x) GROUP BY b),
+tot AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM n),
+gain AS MATERIALIZED (
+  SELECT b, floor(1000 * ln(((n.t + 1)::DOUBLE * (tot.s + 10000)) / ((n.s + 1)::DOUBLE * (tot.t + 10000))))::BIGINT AS g FROM n, tot),
+per AS (SELECT r, count(*) AS k, sum(g)::BIGINT AS weight FROM w JOIN named USING (x) JOIN gain USING (b) WHERE kind = 's' GROUP BY r),
+scored AS (
+  SELECT r, doc_id, coalesce(k, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM (SELECT row_number() OVER () AS r, doc_id FROM documents) LEFT JOIN per USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * able // 100 THEN p END AS rank FROM placed
+"""
+
+ORACLES = {"op4_ngram_join": _JACCARD, "op7_substring_dedup": _without_repeats(fm_dedup.WINDOW), "op9_suffix_dedup": _without_repeats(suffix_dedup.WINDOW), "op11_resampling": _RESAMPLING}
