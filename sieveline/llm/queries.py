@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_codec, fm_dedup, html_text, ngram_join, packing, quality, resampling, suffix_dedup, token_counts, toxicity, vector_tree
+from sieveline.llm import bpe_codec, fm_dedup, html_text, ngram_join, packing, phrases, quality, resampling, suffix_dedup, token_counts, toxicity, vector_tree
 from sieveline.llm.tables import table
 
 
@@ -58,8 +58,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text, op11_resampling,
+    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text, op11_resampling, op13_phrases,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -125,4 +129,25 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * able // 100 THEN p END AS rank FROM placed
 """
 
-ORACLES = {"op4_ngram_join": _JACCARD, "op7_substring_dedup": _without_repeats(fm_dedup.WINDOW), "op9_suffix_dedup": _without_repeats(suffix_dedup.WINDOW), "op11_resampling": _RESAMPLING}
+_PHRASES = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, j, (2000000 * c.a::HUGEINT) // (x.a + y.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+scored AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+stays AS (SELECT s.* FROM scored s LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM stays JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
+ORACLES = {"op4_ngram_join": _JACCARD, "op7_substring_dedup": _without_repeats(fm_dedup.WINDOW), "op9_suffix_dedup": _without_repeats(suffix_dedup.WINDOW), "op11_resampling": _RESAMPLING, "op13_phrases": _PHRASES}
