@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_codec, fm_dedup, html_text, ngram_join, packing, phrases, quality, resampling, suffix_dedup, token_counts, toxicity, vector_tree
+from sieveline.llm import bpe_codec, fm_dedup, html_text, lm_scoring, ngram_join, packing, phrases, quality, resampling, suffix_dedup, token_counts, toxicity, vector_tree
 from sieveline.llm.tables import table
 
 
@@ -58,12 +58,17 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.likelihood(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text, op11_resampling, op13_phrases,
+    op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_bpe_codec, op6_nearest, op7_substring_dedup, op8_packing, op9_suffix_dedup, op10_html_text, op11_resampling,
+    op12_lm_scoring, op13_phrases,
 )}
 
 _WORD = r"[^\x20\x09-\x0D]+"
