@@ -82,8 +82,8 @@ def _segment_rows(window: int, k: int):
 
 
 def _texts_with(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """docs joined to marks (row, ...), which has each row number once at most."""
-    marks = marks.withColumnRenamed("row", "of_row")
+    """docs joined to marks (row, ...), which has each row number once at most. The plan is the same at any size."""
+    marks = marks.withColumnRenamed("row", "of_row").hint("merge")
     return docs.join(marks, docs.row == marks.of_row, how).drop("of_row")
 
 
@@ -180,7 +180,7 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
     docs = docs.select(F.col("`text`").alias("text"), whole.alias("carried"), row.alias("row"))
     anchors = docs.select("text").mapInArrow(_anchor_rows(window, k), "key long")
     met = kept(anchors.groupBy("key").count().where("count > 1").select("key"), "anchors")
-    rows = kept(docs.select("row", "text").mapInArrow(_segment_rows(window, k), _SEGMENTS).join(met, "key", "left_semi"), "repeated")
+    rows = kept(docs.select("row", "text").mapInArrow(_segment_rows(window, k), _SEGMENTS).join(met.hint("merge"), "key", "left_semi"), "repeated")
     distinct = rows.groupBy("key", "seg", "n", "anchor").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("of"))
     distinct = kept(distinct, "distinct")
     groups = distinct.groupBy("key").agg(F.count("*").alias("segs"), F.sum("n").alias("held"))
@@ -191,7 +191,8 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
 
     def pieces(of_large: bool, schema: str, windows_only: int = 0) -> DataFrame:
         by_row = wanted.where(F.col("large") == of_large).groupBy("row").agg(F.collect_list("s").alias("wanted"))
-        return _texts_with(docs.select("row", "text"), by_row, "inner").select("text", "wanted").mapInArrow(_word_rows(windows_only), schema)
+        once = docs.select("row", "text").dropDuplicates(["row"])  # equal rows meet before they move
+        return _texts_with(once, by_row, "inner").select("text", "wanted").mapInArrow(_word_rows(windows_only), schema)
 
     found = alone
     if held:
@@ -205,7 +206,8 @@ def without_repeats(docs: DataFrame, decide: Callable, window: int, k: int = K,
         found = found.unionByName(
             hot.join(twice, "hash", "left_semi").groupBy("key", "seg").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + window))).alias("spans"))
         )
-    marks = rows.join(found, ["key", "seg"]).groupBy("row").agg(F.collect_list(F.struct("start", "spans")).alias("marks"))
+    # a set: rows that are equal mark the same places, however many they are
+    marks = rows.join(found, ["key", "seg"]).groupBy("row").agg(F.collect_set(F.struct("start", "spans")).alias("marks"))
     marked = _texts_with(docs, kept(marks, "marks"), "left").select("carried", *([] if carry else ["text"]), "marks")
     span = StructType().add("start", "long").add("end", "long")
     schema = StructType([StructField("carried", docs.schema["carried"].dataType)]).add("n_words", "long").add("n_removed", "long").add("kept", "string").add("spans", ArrayType(span))

@@ -47,31 +47,32 @@ def _doubled(reach: int) -> Column:
     return F.transform("h", lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + reach)))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of every row of docs (doc_id, text).
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named by carry, and the measures of every row of docs (doc_id, text).
 
     n_repeat_words is the words in 8-word windows found twice or more. Windows are told apart by 64-bit hashes; sorting puts equal
     ones side by side, so the time is that of a sort however often one repeats."""
+    own = ("doc_id", *carry)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    staged = base.select("doc_id", "t", "words", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"), F.size("words").alias("n"))
+    base = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), *carry, text.alias("t"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
+    staged = base.select(*own, "t", "words", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"), F.size("words").alias("n"))
     staged = staged.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
     for reach in (1, 2, 4):  # the hash of 2, 4, 8 words from those of half as many
-        staged = staged.select("doc_id", "t", "words", "lines", "n", _doubled(reach).alias("h"))
-    staged = staged.select("doc_id", "t", "words", "lines", "n", F.slice("h", 1, F.greatest(F.col("n") - (WINDOW - 1), F.lit(0))).alias("h"))
+        staged = staged.select(*own, "t", "words", "lines", "n", _doubled(reach).alias("h"))
+    staged = staged.select(*own, "t", "words", "lines", "n", F.slice("h", 1, F.greatest(F.col("n") - (WINDOW - 1), F.lit(0))).alias("h"))
     pairs = F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     staged = staged.select(
-        "doc_id", "t", "words", "lines", "n",
+        *own, "t", "words", "lines", "n",
         F.when(F.size(F.array_distinct("h")) < F.size("h"), pairs).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")).alias("p"),
     )
     before, after = (lambda j: F.get(F.col("p"), j - 1)["h"]), (lambda j: F.get(F.col("p"), j + 1)["h"])
     twice = F.filter("p", lambda x, j: ((j > 0) & (x["h"] == before(j))) | F.coalesce(x["h"] == after(j), F.lit(False)))
-    staged = staged.select("doc_id", "t", "words", "lines", "n", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
+    staged = staged.select(*own, "t", "words", "lines", "n", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
     covered = F.aggregate(
         F.transform("at", lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), j + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda s, x: s + x
     )
     return staged.select(
-        "doc_id", F.col("n").cast("long").alias("n_words"), F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
+        *own, F.col("n").cast("long").alias("n_words"), F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), (F.length("t") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))).cast("long").alias("n_capitals"),
@@ -120,13 +121,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     return model
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5) -> DataFrame:
-    """doc_id, the measures, base_failed, the votes, posterior and kept of every row of docs (doc_id, text; others are ignored).
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named by carry, the measures, base_failed, the votes, posterior and kept of every row of docs (doc_id, text; others are ignored).
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows. kept: not base_failed, and the posterior
     probability of good quality is `least` or more. A null or empty text has no words and fails. Rows with equal doc_id, null
     included, are rows of their own and all count in the estimate; an empty table gives no rows."""
-    voted = kept(measures(docs).select("*", *votes(rules)), "measures")
+    voted = kept(measures(docs, carry).select("*", *votes(rules)), "measures")
     names = [f"vote_{r.name}" for r in rules]
     counts = voted.groupBy(*names).count().collect()  # 3 ** len(rules) rows at most
     model = fit(sorted((tuple(r[n] for n in names), r["count"]) for r in counts), len(rules))

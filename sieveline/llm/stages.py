@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sieveline.llm import fm_dedup, ngram_join, packing, quality, toxicity
 from sieveline.llm.tables import documents_of, kept, table
@@ -36,10 +35,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that pass the base rules and have good quality by the posterior."""
-    bad = quality.quality(_by_key(docs)).where(~F.col("kept")).select(F.col("doc_id").alias("bad_key")).distinct()
-    rows = docs.select(_whole(docs), _key().alias("key"))
-    return rows.join(bad, F.col("key") == F.col("bad_key"), "left_anti").select("whole.*")
+    """Rows that pass the base rules and have good quality by the posterior. The measures are written with the row they belong to,
+    so that the verdict needs no join."""
+    rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text"), _whole(docs))
+    return quality.quality(rows, carry=("whole",)).where("kept").select("whole.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +51,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     best = named.groupBy("component_id").agg(F.min(rank).alias("best")).select(F.col("best.k").alias("good_key"))
     wordless = classes.where("n_shingles = 0").select(F.col("doc_id").alias("good_key")).distinct()
     good = kept(best.withColumn("words", F.lit(True)).unionByName(wordless.withColumn("words", F.lit(False))), "winners")
-    stays = docs.select(_whole(docs), _key().alias("key")).join(good, F.col("key") == F.col("good_key"))
+    rows = docs.select(_whole(docs), _key().alias("key"))
+    stays = rows.join(good.hint("merge"), F.col("key") == F.col("good_key"))  # the same plan at any size
     repeated = classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("good_key"))
     if not repeated.join(good, "good_key", "left_semi").isEmpty():  # equal rows that both won: one goes on
-        number = F.row_number().over(Window.partitionBy("key").orderBy(F.to_json("whole")))
-        stays = stays.withColumn("number", number).where(~F.col("words") | (F.col("number") == 1))
+        one = stays.where("words").groupBy("key").agg(F.min_by("whole", F.to_json("whole")).alias("whole"))
+        stays = one.select("whole").unionByName(stays.where("not words").select("whole"))
     return stays.select("whole.*")
 
 

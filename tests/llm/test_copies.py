@@ -1,10 +1,12 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm.components import components
 from sieveline.llm.fm_dedup import WaveletMatrix, dedup_substrings
@@ -106,3 +108,17 @@ def test_wavelet_ranks(values):
     matrix, at = WaveletMatrix(np.array(values), 9), np.arange(len(values) + 1)
     for symbol in set(values):
         assert matrix.rank(np.full(len(at), symbol), at).tolist() == [values[:i].count(symbol) for i in at]
+
+
+@pytest.mark.parametrize("dedup", [dedup_substrings, dedup_suffixes])
+def test_many_equal_rows_take_linear_work(spark, dedup):
+    """2,000 rows equal in text, half of them in doc_id too, and as many without any: work grows with their number, not its square."""
+    text = " ".join(f"w{i * 7919 % 1500}" for i in range(1500))
+    n = spark.range(2000)
+    docs = n.select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "x " + text[:2000] + " y"), (2, "nothing here repeats")], "doc_id long, text string"))
+    began = time.time()
+    rows = dedup(docs).select("doc_id", "n_words", "n_removed").collect()
+    assert time.time() - began < 90
+    assert len(rows) == 2002 and all(r.n_removed == r.n_words for r in rows if r.doc_id in (None, 7))
+    assert [r.n_removed for r in rows if r.doc_id == 2] == [0] and all(0 < r.n_words - r.n_removed < 5 for r in rows if r.doc_id == 1)
