@@ -15,6 +15,7 @@ from sieveline.operators.rule_catalog import QUALITY_RULES, SECURITY_RULES, rule
 from sieveline.plans import scan as SC
 
 from . import derived as D
+from . import method_sql as M
 from . import sql_parts as S
 from .registry import query
 from .source_tables import source_files
@@ -93,7 +94,15 @@ def quality_hits(spark, sf):
     return _hits(SC.quality_hits(source_files(spark, sf)))
 
 
-@query("quality_scan")
+_QUALITY_HITS = """quality_all AS (
+    SELECT job_id, path, rule_id, line_number, NULL AS subject, NULL::BIGINT AS measured, NULL::BIGINT AS lim FROM quality
+    UNION ALL SELECT job_id, path, rule_id, line_number, path, measured, {} FROM large UNION ALL SELECT job_id, path, rule_id, line_number, subject, measured, lim FROM method_hits)""".format(C.MAX_FILE_LINES)
+_QUALITY_ALL = (*S.QUALITY_CTES, S.LARGE_FILES, *M.METHOD_CTES, M.METHOD_HITS, _QUALITY_HITS)
+
+
+@query("quality_scan", S.with_ctes(S.SRC, *_QUALITY_ALL, S.rule_table(), select=f"""
+    SELECT job_id, {M.SEVERITY} AS severity, category, {M.filled('title')} AS title, {M.filled('description')} AS description, recommendation,
+           path AS file_path, line_number::BIGINT AS line_number, rule_id, source FROM quality_all JOIN rules USING (rule_id)"""))
 def quality_scan(spark, sf):
     return _findings(SC.quality_scan(source_files(spark, sf)))
 
@@ -107,7 +116,8 @@ def large_files(spark, sf):
         "job_id", "severity", "title", "description", "file_path", "line_number", "rule_id")
 
 
-@query("method_facts")
+@query("method_facts", S.with_ctes(S.SRC, *M.METHOD_CTES, select="""
+    SELECT job_id, path, name, start_line, end_line, n_params, complexity, nesting FROM facts"""))
 def method_facts(spark, sf):
     facts = ME.method_facts(source_files(spark, sf))
     return facts.select("job_id", "path", "name", *[
@@ -133,19 +143,17 @@ def method_rules(spark, sf):
         "job_id", "severity", "title", "description", "file_path", "line_number", "rule_id")
 
 
-ALL_HITS = """hits AS (SELECT * FROM security UNION ALL SELECT * FROM quality
-    UNION ALL SELECT job_id, path, rule_id, line_number FROM large)"""
+ALL_FINDINGS = (*S.SECURITY_CTES, *_QUALITY_ALL, S.rule_table(), f"""hits AS MATERIALIZED (
+    SELECT job_id, path, rule_id, {M.SEVERITY} AS severity, category, source, {M.filled('title')} AS title, line_number::BIGINT AS line_number FROM (
+        SELECT *, NULL AS subject, NULL::BIGINT AS measured, NULL::BIGINT AS lim FROM security UNION ALL SELECT * FROM quality_all) JOIN rules USING (rule_id))""")
 
 
-@query("all_findings", S.with_ctes(*S.SECURITY_CTES, *S.QUALITY_CTES, S.LARGE_FILES, S.rule_table(), ALL_HITS, select="""
-    SELECT job_id, path AS file_path, rule_id, severity, category, source, line_number::BIGINT AS line_number
-    FROM hits JOIN rules USING (rule_id)"""))
+@query("all_findings", S.with_ctes(*ALL_FINDINGS, select="SELECT job_id, path AS file_path, rule_id, severity, category, source, line_number FROM hits"))
 def all_findings(spark, sf):
-    """All findings. The SQL leaves out the method metrics, so it has fewer rows."""
     return _findings(SC.all_findings(source_files(spark, sf))).select("job_id", "file_path", "rule_id", "severity", "category", "source", "line_number")
 
 
-@query("all_findings_with_methods")
+@query("all_findings_with_methods", S.with_ctes(*ALL_FINDINGS, select="SELECT rule_id, severity, count(*) AS findings FROM hits GROUP BY ALL"))
 def all_findings_with_methods(spark, sf):
     return SC.all_findings(source_files(spark, sf)).groupBy("rule_id", "severity").agg(F.count("*").alias("findings"))
 

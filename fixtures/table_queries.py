@@ -29,6 +29,7 @@ from sieveline.streaming import runs as ST
 from . import derived as D
 from . import sql_parts as S
 from .registry import query
+from .scan_queries import ALL_FINDINGS
 from .source_tables import quote, source_files, source_files_from
 
 # ---- requests and uploads -------------------------------------------------------------------------------------------
@@ -290,11 +291,14 @@ _ITEMS = """items AS (
 _FIELDS = "fields AS (SELECT *, coalesce(json_extract_string(f, '$.severity'), 'INFO') AS s, coalesce(json_extract_string(f, '$.title'), '') AS t FROM items)"
 
 
+_REPLY_LINE = "CASE WHEN json_exists(f, '$.lineHint') THEN coalesce(try_cast(json_extract_string(f, '$.lineHint') AS BIGINT), 0) END"
+_REPLY_RULE = "'LLM-ARCH-' || upper(substr(sha256(file_path || chr(31) || chunk_index || chr(31) || pos || chr(31) || t), 1, 8))"
+
+
 @query("reply_findings", S.with_ctes(_REPLIES, _PARSED, _ITEMS, _FIELDS, select=f"""
     SELECT job_id, {_SEVERITY} AS severity, t AS title, coalesce(json_extract_string(f, '$.description'), '') AS description,
            coalesce(json_extract_string(f, '$.recommendation'), '') AS recommendation, file_path,
-           CASE WHEN json_exists(f, '$.lineHint') THEN coalesce(try_cast(json_extract_string(f, '$.lineHint') AS BIGINT), 0) END AS line_number,
-           'LLM-ARCH-' || upper(substr(sha256(file_path || chr(31) || chunk_index || chr(31) || pos || chr(31) || t), 1, 8)) AS rule_id,
+           {_REPLY_LINE} AS line_number, {_REPLY_RULE} AS rule_id,
            'LLM_' || upper(provider) AS source FROM fields"""))
 def reply_findings(spark, sf):
     found = R.reply_findings(R.parse_chunk_replies(D.replies(spark, sf)))
@@ -567,14 +571,17 @@ def latest_jobs(spark, sf):
     return _latest(spark, sf).select("job_id", "event_id", "status", "project_name", "error_message", "total_findings")
 
 
-@query("job_store", S.with_ctes(_STATES, _LATEST, select="SELECT job_id, event_id, status FROM latest"))
+@query("job_store", S.with_ctes(_STATES, _LATEST, select="""
+    SELECT job_id, event_id, status, n AS states FROM latest JOIN (SELECT job_id, count(*) AS n FROM states GROUP BY 1) USING (job_id)"""))
 def job_store(spark, sf):
-    """States appended to a partitioned table in two goes, then read back."""
+    """States appended to a partitioned table in two goes, one of them tried twice, then counted and read back."""
     states, path = D.states(spark, sf), shared_folder(spark, "jobs")
     early = F.col("updated_at") < F.lit("2024-01-15").cast("timestamp_ntz")
-    JB.save_jobs(states.where(early), path)
-    JB.save_jobs(states.where(~early), path)
-    return JB.latest_jobs(JB.read_jobs(spark, path), tie="event_id").select("job_id", "event_id", "status")
+    for batch in (early, ~early, early):
+        JB.save_jobs(states.where(batch), path)
+    saved = JB.read_jobs(spark, path)
+    counts = saved.groupBy("job_id").agg(F.count("*").alias("states"))
+    return JB.latest_jobs(saved, tie="event_id").join(counts, "job_id").select("job_id", "event_id", "status", "states")
 
 
 @query("job_lookup", S.with_ctes(_STATES, _LATEST, select="SELECT job_id, event_id, status FROM latest WHERE job_id = 'job-7'"))
@@ -631,11 +638,14 @@ _REPORT_COLUMNS = ("job_id", "status", "project_name", "total_findings", *[f"{s.
                    "total_files", "total_lines", "executive_summary", "architectural_assessment")
 
 
+# scanned findings and those of the model, with the replies' CTE under a name of its own
+_ALL_FOUND = (*ALL_FINDINGS, _REPLIES, _PARSED.replace("parsed AS", "reply_parsed AS"), _ITEMS.replace("FROM parsed", "FROM reply_parsed"), _FIELDS,
+    f"""found AS MATERIALIZED (SELECT job_id, path AS file_path, rule_id, severity, category, source, title, line_number FROM hits
+        UNION ALL SELECT job_id, file_path, {_REPLY_RULE}, {_SEVERITY}, 'ARCHITECTURE', 'LLM_' || upper(provider), t, {_REPLY_LINE} FROM fields)""")
+
+
 @query("report", S.with_ctes(
-    *S.SECURITY_CTES, *S.QUALITY_CTES, S.LARGE_FILES, S.rule_table(),
-    "hits AS (SELECT * FROM security UNION ALL SELECT * FROM quality UNION ALL SELECT job_id, path, rule_id, line_number FROM large)",
-    _REPLIES, _PARSED.replace("parsed AS", "reply_parsed AS"), _ITEMS.replace("FROM parsed", "FROM reply_parsed"), _FIELDS,
-    f"found AS (SELECT job_id, severity FROM hits JOIN rules USING (rule_id) UNION ALL SELECT job_id, {_SEVERITY} FROM fields)",
+    *_ALL_FOUND,
     f"counts AS (SELECT job_id, count(*) AS total, {', '.join(chr(10) + f'count(*) FILTER (severity = {quote(s)}) AS {s.lower()}' for s in C.SEVERITIES)} FROM found GROUP BY 1)",
     f"stats AS (SELECT job_id, count(*) AS total_files, sum({S.line_count_fast('content')})::BIGINT AS total_lines FROM src GROUP BY 1)",
     f"languages AS (SELECT job_id, string_agg(language || '=' || n, ',' ORDER BY language) AS files_by_language FROM "
@@ -652,33 +662,41 @@ _REPORT_COLUMNS = ("job_id", "status", "project_name", "total_findings", *[f"{s.
     FROM customer LEFT JOIN counts ON counts.job_id = 'job-' || c_custkey LEFT JOIN stats ON stats.job_id = 'job-' || c_custkey
     LEFT JOIN languages ON languages.job_id = 'job-' || c_custkey LEFT JOIN parsed ON parsed.job_id = 'job-' || c_custkey"""))
 def report(spark, sf):
-    """Scanned and model findings in one report. The SQL leaves out the method metrics, so its counts are lower by these."""
     scans = RP.write_scans(source_files(spark, sf), shared_folder(spark, "scans"))
     found = _found(spark, sf, scans)
     languages = F.transform(F.array_sort(F.map_entries("files_by_language")), lambda e: F.concat_ws("=", e.key, e.value.cast("string")))
     return _reports(spark, sf, scans, found).select(*_REPORT_COLUMNS, F.array_join(languages, ",").alias("files_by_language"))
 
 
-@query("report_json", S.with_ctes(*S.SECURITY_CTES, S.rule_table(), select="""
+_PAGE = 10
+_LISTS = {"security_findings": "SECURITY", "quality_findings": "CODE_QUALITY", "architecture_findings": "ARCHITECTURE"}
+_LISTED = ("severity", "file_path", "rule_id", "line_number", "title", "source")
+
+
+@query("report_json", S.with_ctes(*_ALL_FOUND, select=f"""
     SELECT 'job-' || c_custkey AS job_id, count(rule_id) AS total_findings, count(*) FILTER (severity = 'CRITICAL') AS critical_count,
-           count(rule_id) AS listed, TRUE AS nulls_left_out
-    FROM customer LEFT JOIN (SELECT job_id, rule_id, severity FROM security JOIN rules USING (rule_id)) f
-    ON f.job_id = 'job-' || c_custkey GROUP BY 1"""))
+           greatest(1, (count(rule_id) + {_PAGE - 1}) // {_PAGE}) AS pages, TRUE AS full_pages, TRUE AS nulls_left_out,
+           count(rule_id) AS listed, md5(coalesce(string_agg(x, chr(10) ORDER BY x), '')) AS findings
+    FROM customer LEFT JOIN (SELECT *, concat_ws('|', category, {', '.join(_LISTED)}) AS x FROM found) f ON f.job_id = 'job-' || c_custkey GROUP BY 1"""))
 def report_json(spark, sf):
-    """The JSON documents, read back: counters on the first page, and the listed findings of all pages together. The SQL
-    has the security rules only, so its counts are lower by all other findings."""
+    """The JSON documents, read back: counters, pages of equal size, and every finding of the three lists."""
     scans = RP.write_scans(source_files(spark, sf), shared_folder(spark, "scans"))
     found = _found(spark, sf, scans)
-    documents = RP.report_json(_reports(spark, sf, scans, found), RP.finding_pages(found, page_size=10))
-    read = documents.select(
-        "job_id", F.get_json_object("json", "$.total_findings").cast("bigint").alias("t"),
-        F.get_json_object("json", "$.critical_count").cast("bigint").alias("c"),
-        sum((F.coalesce(F.json_array_length(F.get_json_object("json", f"$.{x}_findings")), F.lit(0))
-             for x in ("security", "quality", "architecture")), F.lit(0)).alias("n"),
-        F.get_json_object("json", "$.error_message").isNull().alias("e"))
+    documents = RP.report_json(_reports(spark, sf, scans, found), RP.finding_pages(found, page_size=_PAGE))
+    finding = "array<struct<severity string, file_path string, rule_id string, line_number bigint, title string, source string>>"
+    parsed = documents.withColumn("d", F.from_json("json", "total_findings bigint, critical_count bigint, page int, pages int, error_message string, "
+                                                   + ", ".join(f"{n} {finding}" for n in _LISTS)))
+
+    def lines(name, category):
+        return F.transform(F.coalesce(f"d.{name}", F.array().cast(finding)), lambda f: F.concat_ws("|", F.lit(category), *[f[x].cast("string") for x in _LISTED]))
+
+    lists = [lines(*kv) for kv in _LISTS.items()]
+    read = parsed.select("job_id", "page", "d", F.concat(*lists).alias("items"), F.get_json_object("json", "$.error_message").isNull().alias("e"))
+    is_full = (F.size("items") == _PAGE) | ((F.col("page") == F.col("d.pages") - 1) & (F.size("items") <= _PAGE))
     return read.groupBy("job_id").agg(
-        F.max("t").alias("total_findings"), F.max("c").alias("critical_count"), F.sum("n").cast("bigint").alias("listed"),
-        F.bool_and("e").alias("nulls_left_out"))
+        F.max("d.total_findings").alias("total_findings"), F.max("d.critical_count").alias("critical_count"), F.count("*").alias("pages"),
+        F.bool_and(is_full).alias("full_pages"), F.bool_and("e").alias("nulls_left_out"),
+        F.sum(F.size("items")).alias("listed"), F.md5(F.array_join(F.array_sort(F.flatten(F.collect_list("items"))), "\n")).alias("findings"))
 
 
 # ---- streams --------------------------------------------------------------------------------------------------------
@@ -713,11 +731,11 @@ def stream_latest_status(spark, sf):
 
 @query("stream_expired_jobs", S.with_ctes(_STATES, _LATEST, select="""
     SELECT job_id, strftime(completed_at, '%Y-%m-%d %H:%M:%S') AS completed_at FROM latest
-    WHERE completed_at < (SELECT max(updated_at) FROM states) - INTERVAL '24' HOUR"""))
+    WHERE completed_at < (SELECT max(updated_at) FROM states) - INTERVAL '4' HOUR"""))
 def stream_expired_jobs(spark, sf):
-    """The jobs that ``expire_jobs`` drops as of the newest state."""
+    """The jobs that ``expire_jobs`` drops as of the newest state, after four hours: the smallest tables have such jobs too."""
     base = shared_folder(spark, "stream-expiry")
-    ST.stream_expired_jobs(_state_stream(spark, sf), f"{base}/out", f"{base}/checkpoint", lateness="0 seconds").awaitTermination()
+    ST.stream_expired_jobs(_state_stream(spark, sf), f"{base}/out", f"{base}/checkpoint", lateness="0 seconds", hours=4).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("job_id", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
 
 

@@ -59,8 +59,6 @@ REPLY_TOP_P = 0.9
 
 # --- fixed values: severities and categories, worst first -------------------------------------
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
-CATEGORIES = ("SECURITY", "CODE_QUALITY", "ARCHITECTURE", "PERFORMANCE", "DEPENDENCY")
-STATUSES = ("PENDING", "RUNNING", "COMPLETED", "FAILED")
 
 OWASP_2021 = {
     "A01": "A01:2021-Broken Access Control",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.paths import detect_language
 from ..functions.text import line_count, newline_count
+from .ordinals import number_rows
 
 CHUNK_TYPE = "array<struct<chunk_index:int,total_chunks:int,content:string,start_line:int,end_line:int>>"
 _STATE = "array<struct<nl:int,trail:int,len:int>>"
@@ -131,22 +132,14 @@ def chunk_prompts(chunks: DataFrame, project: Column | str | None = None, templa
     }))
 
 
-def project_bullets(summaries: DataFrame, run: int = 1000) -> DataFrame:
+def project_bullets(summaries: DataFrame) -> DataFrame:
     """(job_id, ordinal, bullet): the chunk summaries of a project in file and chunk order, numbered from 1 without gaps.
 
-    The form is the same at any size. Rows are numbered within runs of ``run`` chunks of a file, and only the sizes of
-    the runs are summed over a project, so that no task has to hold a project or a large file. Expects job_id, file_path,
-    chunk_index, summary.
+    The form is the same at any size. The ordinals are prefix sums over range partitions (``number_rows``), so no task has to hold
+    a project or a large file. Expects job_id, file_path, chunk_index, summary.
     """
-    keys = ["job_id", "file_path", "_run"]
-    rows = summaries.select("job_id", "file_path", "chunk_index", "summary", F.floor(F.col("chunk_index") / run).alias("_run"))
-    inside = Window.partitionBy(*keys).orderBy("chunk_index", "summary")
-    before = Window.partitionBy("job_id").orderBy("file_path", "_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    numbered = rows.withColumn("_i", F.row_number().over(inside)).join(starts, same)
-    return numbered.select("job_id", (F.col("_start") + F.col("_i")).alias("ordinal"), F.col("summary").alias("bullet"))
+    rows = summaries.select("job_id", "file_path", "chunk_index", F.col("summary").alias("bullet"))
+    return number_rows(rows, ["job_id"], ["file_path", "chunk_index", "bullet"]).select("job_id", "ordinal", "bullet")
 
 
 def _prompts(bullets: DataFrame, keys, project: Column | None, template: str) -> DataFrame:

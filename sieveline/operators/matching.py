@@ -65,14 +65,19 @@ def _rule_lines(rule: Rule) -> Column:
     return F.when(probe, lines).otherwise(F.array().cast(_NO_LINES))
 
 
-def _staged(files: DataFrame, rules, keys, in_scope, extra_views=()):
-    """Views, lower-cased views for the probes, and line arrays, each computed once per text."""
+def _staged(files: DataFrame, rules, keys, in_scope, with_facts: bool = False):
+    """Views, lower-cased views for the probes, and line arrays, each computed once per text; with_facts, the method facts of
+    ``.java`` texts too, which are read before the other columns are there, so that few columns wait for them."""
     rules = [r for r in rules if r.pattern]
-    views = sorted({r.view for r in rules} | set(extra_views))
+    views = sorted({r.view for r in rules} | ({"masked"} if with_facts else set()))
     line_views = sorted({r.view for r in rules if r.scope in ("line", "both")})
     probed = sorted({r.view for r in rules if r.probes})
     base = files.select(*keys, "content", (F.lit(True) if in_scope is None else in_scope).alias("_scope"))
-    staged = source_views(base, views).select(
+    viewed = source_views(base, views).drop("_pieces")
+    if with_facts:
+        java = F.col("path").endswith(".java") & may_have_methods(F.col("v_masked"))
+        viewed = viewed.withColumn("_facts", method_array(F.when(java, F.col("v_masked")), False))
+    staged = viewed.select(
         "*",
         *[F.lower(f"v_{v}").alias(f"low_{v}") for v in probed],
         *[T.split_lines(f"v_{v}").alias(f"lines_{v}") for v in line_views],
@@ -96,7 +101,7 @@ def _measures(limits: dict[str, int]) -> Column:
 
 def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, Column]:
     """The staged texts and the array of (rule_id, line_number, subject, measured) to compute from each."""
-    rules, staged = _staged(files, rules, keys, in_scope, ("masked",) if limits else ())
+    rules, staged = _staged(files, rules, keys, in_scope, bool(limits))
     nothing = F.array().cast(HITS)
 
     def tagged(rule: Rule) -> Column:
@@ -110,8 +115,6 @@ def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, C
     if scoped:
         hits.append(F.when(F.col("_scope"), F.concat(*scoped)).otherwise(nothing))
     if limits:
-        java = F.col("path").endswith(".java") & may_have_methods(F.col("v_masked"))
-        staged = staged.withColumn("_facts", F.when(java, method_array("v_masked", False)))
         hits.append(_measures({**DEFAULT_LIMITS, **limits}))
     return staged, F.concat(*hits)
 

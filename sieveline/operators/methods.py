@@ -1,225 +1,41 @@
 """Method facts of Java-like sources: name, lines, parameters, decisions, control nesting.
 
-The masked text is cut into the few tokens that matter (method headers, control keywords, labels, ternaries, braces)
-and folded once, left to right, with a small stack. The fold runs inside the row: no shuffle, no token table, no
-join between tokens and methods, and memory in proportion to one text.
+The masked text goes to an Arrow function that reads its tokens once (:mod:`java_tokens`): brackets nest to any depth, which column
+expressions cannot follow. It works inside the row: no shuffle, no token table, and memory in proportion to one text.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.cleaning import normalize_line_endings
-from ..functions.reuse import built_once
-from ..functions.text import MARK, mask_source, newline_count
-
-_END = "\x02"
-
-_BRACKET_DEPTH = 60
-_CHUNK = 256
-
-
-def _brackets(depth: int) -> str:
-    """Round brackets with all that is between them, ``depth`` deep at most. The pattern grows by a few characters a level
-    and never backtracks."""
-    inner = r"[^()]*+"
-    for _ in range(depth - 1):
-        inner = rf"(?:[^()]++|\({inner}\))*+"
-    return rf"\({inner}\)"
-
-
-_PARENS = _brackets(_BRACKET_DEPTH)
-
-_NOT_A_TYPE = (
-    r"(?!(?:return|new|else|throw|case|assert|package|import|goto|instanceof|yield|do|class|interface|enum|record|"
-    r"extends|implements|throws|public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\b)"
-)
-_NOT_A_NAME = r"(?!(?:if|for|while|switch|catch|synchronized|super|this|try|return|new)\b)"
-_METHOD = (
-    r"(?=[A-Za-z_$@<])(?<![\w$.@])"
-    rf"(?:@[\w.]++(?:\s*+{_PARENS})?\s++|(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s++)*+"
-    r"(?:<[^(){};=]*?>\s*+)?"
-    rf"{_NOT_A_TYPE}[A-Za-z_$][\w$.]*+(?:\s*+<[^(){{}};=]*>)?(?:\s*+\[\s*+\])*+(?:\s++|(?<=[>\]])\s*+)"
-    rf"{_NOT_A_NAME}([A-Za-z_$][\w$]*+)\s*+"
-    rf"\(((?:[^(){{}};]++|{_PARENS})*+)\)"
-    r"(?:\s*+\[\s*+\])*+\s*+(?:throws\s++[\w.$,\s]++)?+([{;])"
-)
-_CONTROL = (
-    r"\b(?:"
-    rf"else\s++if\s*+{_PARENS}\s*+\{{?|"
-    rf"(?:if|for|while|switch|catch|synchronized|try)\s*+{_PARENS}\s*+\{{?|"
-    r"(?:else|do|try|finally)\b\s*+\{?|"
-    r"(?:if|for|while|switch|catch)\b)"
-)
-_LABEL = r"\bcase\b|\bdefault\b(?=\s*+(?:->|:(?!:)))"
-_TERNARY = r"\?(?!\s*+(?:[>,&]|extends\s|super\s++[A-Za-z]))"
-_TOKEN = rf"[{{}}]|{_TERNARY}|{_METHOD}|{_CONTROL}|{_LABEL}"
-_FOR_HEAD = rf"for\s*+\((?:[^();]++|{_PARENS})*+;"
-_CLASSIC_FOR = rf"\A{_FOR_HEAD}"
-_DECISION = rf"\b(?:if|while|catch)\b|{_LABEL}|\b{_FOR_HEAD}"
-
-_CONTROL_WORDS = ("if", "for", "while", "switch", "catch", "synchronized", "else", "do", "try", "finally")
+from ..functions.text import mask_source
+from .java_tokens import method_facts_of
 
 METHOD_TYPE = "array<struct<name:string,start_line:int,end_line:int,n_params:int,complexity:int,nesting:int>>"
-_OPEN = "array<struct<name:string,start:int,params:int,depth:int,base:int,cx:int,nest:int>>"
-
+_FIELDS = ("name", "start_line", "end_line", "n_params", "complexity", "nesting")
 
-def parameter_count(params: Column) -> Column:
-    """Commas outside all brackets, plus one. Angle brackets count outside the other ones only, where they compare nothing."""
-    marks = F.regexp_extract_all(params, F.lit(r"[<>(){}\[\],]"), F.lit(0))
-    start = F.struct(F.lit(0).alias("inner"), F.lit(0).alias("angle"), F.lit(0).alias("commas"))
 
-    def step(s, m):
-        outside = s.inner == 0
-        return F.struct(
-            (s.inner + F.when(m.isin("(", "{", "["), 1).when(m.isin(")", "}", "]"), -1).otherwise(0)).alias("inner"),
-            (s.angle + F.when(outside & (m == "<"), 1).when(outside & (m == ">"), -1).otherwise(0)).alias("angle"),
-            (s.commas + F.when(outside & (s.angle == 0) & (m == ","), 1).otherwise(0)).alias("commas"),
-        )
+def _facts_of_texts(boolean_ops: bool):
+    def facts(texts: pa.Array) -> pa.Array:
+        offsets, rows, missing = [0], [], []
+        for text in texts:
+            found = method_facts_of(text.as_py(), boolean_ops) if text.is_valid else ()
+            missing.append(not text.is_valid)
+            rows.extend(found)
+            offsets.append(len(rows))
+        columns = [pa.array([r[i] for r in rows], pa.int32() if i else pa.string()) for i in range(len(_FIELDS))]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, _FIELDS), mask=pa.array(missing))
 
-    commas = F.aggregate(marks, start, step, lambda s: s.commas)
-    return F.when(params.rlike(r"\A\s*\z"), 0).otherwise(commas + 1)
+    return F.arrow_udf(facts, METHOD_TYPE)
 
 
-def _cut(piece: Column, i: Column, count_boolean_ops: bool) -> Column:
-    """First look at a token: its text, what follows it, its leading word, and the name if it is a method header.
-    Piece 0 is the text before the first token and only counts lines."""
-    tok = F.when(i == 0, "").otherwise(F.substring_index(piece, _END, 1))
-    long = F.length(tok) > 1
-    gap = F.substring_index(piece, _END, -1)
-    return F.struct(
-        tok.alias("tok"),
-        gap.contains(";").alias("semi"),
-        newline_count(piece).cast("int").alias("nl"),
-        (F.regexp_count(gap, F.lit(r"&&|\|\|")) if count_boolean_ops else F.lit(0)).alias("ops"),
-        F.when(long, F.regexp_extract(tok, r"\A(else\s++if|[a-z]++)", 1)).otherwise("").alias("word"),
-        F.when(long & tok.contains("("), F.regexp_extract(tok, rf"\A(?:{_METHOD})\z", 1)).otherwise("").alias("name"),
-    )
-
-
-def _classify(c: Column, count_boolean_ops: bool) -> Column:
-    """Turn a token into the small numbers the fold works with."""
-    tok, word = c.tok, c.word
-    is_method = c["name"] != ""
-    is_else_if = word.startswith("else") & word.endswith("if")
-    is_control = ~is_method & (is_else_if | word.isin(*_CONTROL_WORDS))
-    is_for = word == "for"
-    decision = (
-        F.when(is_method, 0)
-        .when(is_for, tok.rlike(_CLASSIC_FOR).cast("int"))
-        .when(word.isin("if", "while", "catch", "case", "default") | is_else_if | (tok == "?"), 1)
-        .otherwise(0)
-    )
-    inner = F.when(is_control & tok.contains("?"), F.regexp_count(tok, F.lit(_TERNARY))).otherwise(0)
-    # a condition can hold lambdas with decisions of their own
-    holds_code = is_control & (F.instr(tok, "{") > 0) & (F.instr(tok, "{") < F.length(tok))
-    inner = inner + F.when(holds_code, F.regexp_count(tok, F.lit(_DECISION)) - decision).otherwise(0)
-    if count_boolean_ops:
-        inner = inner + F.regexp_count(tok, F.lit(r"&&|\|\|")) + c.ops
-    opens = tok.endswith("{")
-    return F.struct(
-        F.when(is_method, F.when(opens, 1).otherwise(2)).when(is_control, 3)
-        .when(tok == "{", 4).when(tok == "}", 5).otherwise(0).alias("kind"),
-        F.when(word == "synchronized", 0).when(is_for, tok.rlike(_CLASSIC_FOR).cast("int")).otherwise(1).alias("weight"),
-        F.when(is_else_if, 2).when(word == "if", 1).when(word == "else", 3).otherwise(0).alias("link"),
-        (decision + inner).cast("int").alias("cx"),
-        opens.alias("opens"),
-        F.when(is_method, newline_count(tok)).otherwise(0).cast("int").alias("nl_tok"),
-        c.nl.alias("nl"),
-        c.semi.alias("semi"),
-        c["name"].alias("name"),
-        F.when(is_method, parameter_count(F.regexp_extract(tok, _METHOD, 2))).otherwise(0).cast("int").alias("params"),
-    )
-
-
-def _step(s: Column, t: Column) -> Column:
-    size = F.size(s.stack)
-    n_open = F.size(s.open)
-    control = t.kind == 3
-    pops = (t.kind == 5) & (size > 0)
-    pushes = t.opens
-    linked = F.when(t.link == 2, s.chain + 1).when(t.link == 3, s.chain).otherwise(0)
-    add = F.when(control, t.weight + linked).otherwise(0)
-    reached = s.level + s.pend + add
-    chain_after = F.when(~control, s.chain).when(t.link == 1, 0).when(t.link == 2, s.chain + 1).otherwise(s.chain)
-    top = F.element_at(s.stack, -1)
-    last = F.element_at(s.open, -1)
-    before_last = F.slice(s.open, 1, n_open - 1)
-    closes = pops & (n_open > 0) & (F.try_element_at(s.open, F.lit(-1)).depth == size)
-
-    def method(like, cx, nest):
-        return F.struct(
-            like["name"].alias("name"), like.start.alias("start"), like.params.alias("params"), like.depth.alias("depth"),
-            like.base.alias("base"), cx.alias("cx"), nest.alias("nest"),
-        )
-
-    parent = F.element_at(before_last, -1)
-    opened = F.struct(
-        t["name"].alias("name"), s.line.alias("start"), t.params.alias("params"), (size + 1).alias("depth"),
-        s.level.alias("base"), F.lit(1).alias("cx"), s.level.alias("nest"),
-    )
-    new_open = (
-        F.when(t.kind == 1, F.concat(s.open, F.array(opened)))
-        .when(closes & (n_open == 1), F.array().cast(_OPEN))
-        .when(closes, F.concat(
-            F.slice(s.open, 1, n_open - 2),
-            F.array(method(parent, parent.cx + last.cx - 1, F.greatest(parent.nest, last.nest))),
-        ))
-        .when((n_open > 0) & (control | (t.cx > 0)), F.concat(
-            before_last,
-            F.array(method(last, last.cx + t.cx, F.when(control, F.greatest(last.nest, reached)).otherwise(last.nest))),
-        ))
-        .otherwise(s.open)
-    )
-
-    def fact(name, start, end, params, cx, nesting):
-        return F.array(F.struct(
-            name.alias("name"), start.alias("start_line"), end.alias("end_line"), params.alias("n_params"),
-            cx.alias("complexity"), nesting.alias("nesting"),
-        ))
-
-    # Finished methods go into lists of bounded length, so that adding one never copies all before it.
-    is_full = F.size(s.done) >= _CHUNK
-    room = F.when(is_full, F.array().cast(METHOD_TYPE)).otherwise(s.done)
-    new_done = (
-        F.when(closes, F.concat(room, fact(last["name"], last.start, s.line, last.params, last.cx, last.nest - last.base)))
-        .when(t.kind == 2, F.concat(room, fact(t["name"], s.line, s.line + t.nl_tok, t.params, F.lit(1), F.lit(0))))
-        .otherwise(s.done)
-    )
-    new_full = F.when(is_full & (closes | (t.kind == 2)), F.concat(s.full, F.array(s.done))).otherwise(s.full)
-    return F.struct(
-        (s.line + t.nl).alias("line"),
-        F.when(t.semi | pushes | (t.kind == 5), 0).when(control, s.pend + add).otherwise(s.pend).alias("pend"),
-        F.when(pushes, reached).when(pops, top.level).otherwise(s.level).alias("level"),
-        F.when(pushes, 0).when(pops, top.chain).otherwise(chain_after).alias("chain"),
-        F.when(pushes, F.concat(s.stack, F.array(F.struct(s.level.alias("level"), chain_after.alias("chain")))))
-        .when(pops, F.slice(s.stack, 1, size - 1)).otherwise(s.stack).alias("stack"),
-        new_open.alias("open"),
-        new_done.alias("done"),
-        new_full.alias("full"),
-    )
-
-
-@built_once
-def method_array(masked: str, count_boolean_ops: bool) -> Column:
-    """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of a column of masked text."""
-    text = F.translate(F.col(masked), MARK + _END, "")
-    pieces = F.split(F.regexp_replace(text, _TOKEN, MARK + "$0" + _END), MARK, -1)
-    cut = F.transform(pieces, lambda p, i: _cut(p, i, count_boolean_ops))
-    tokens = F.transform(cut, lambda c: _classify(c, count_boolean_ops))
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.lit(0).alias("pend"),
-        F.lit(0).alias("level"),
-        F.lit(0).alias("chain"),
-        F.array().cast("array<struct<level:int,chain:int>>").alias("stack"),
-        F.array().cast(_OPEN).alias("open"),
-        F.array().cast(METHOD_TYPE).alias("done"),
-        F.array().cast(f"array<{METHOD_TYPE}>").alias("full"),
-    )
-    return F.aggregate(tokens, start, _step, lambda s: F.flatten(F.concat(s.full, F.array(s.done))))
+def method_array(masked: Column, count_boolean_ops: bool) -> Column:
+    """array<struct<name, start_line, end_line, n_params, complexity, nesting>> of masked text; null where the text is null."""
+    return _facts_of_texts(count_boolean_ops)(masked)
 
 
 def may_have_methods(masked: Column) -> Column:
@@ -232,8 +48,8 @@ def method_facts(files: DataFrame, keys=("job_id", "path"), count_boolean_ops: b
     masked = files.where(F.col("path").endswith(".java") & F.col("content").isNotNull()).select(
         *keys, mask_source(normalize_line_endings("content")).alias("masked")
     )
-    facts = F.when(may_have_methods(F.col("masked")), method_array("masked", count_boolean_ops))
-    return masked.select(*keys, F.inline(facts))
+    # into the generator as an expression: as a column, a filter on it would be inferred, and computed on its own
+    return masked.select(*keys, F.inline(method_array(F.when(may_have_methods(F.col("masked")), F.col("masked")), count_boolean_ops)))
 
 
 def measure_array(facts: Column, limits: dict[str, int]) -> Column:

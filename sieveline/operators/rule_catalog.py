@@ -227,26 +227,26 @@ QUALITY_RULES = (
 # take the subject and the measured value, see ``enrich_findings``.
 METRIC_RULES = (
     Rule(
-        "QA-LONG-METHOD-001", "MEDIUM", "", "Long method: {subject}",
-        "Method '{subject}' spans {measured} lines (limit {limit}), too many to read at once.",
+        "QA-LONG-METHOD-001", "MEDIUM", "", "Body of {subject} is too long to take in",
+        "From its header to its closing brace '{subject}' takes {measured} lines; limit {limit}.",
         "Split it into smaller methods with telling names.",
         "CODE_QUALITY", "JAVAPARSER_AST", "", "metric",
     ),
     Rule(
-        "QA-PARAMS-001", "LOW", "", "Too many parameters: {subject}",
-        "Method '{subject}' takes {measured} parameters (limit {limit}).",
+        "QA-PARAMS-001", "LOW", "", "{subject} asks for too many arguments",
+        "A call of '{subject}' has to supply {measured} values; limit {limit}.",
         "Group parameters that belong together in one object.",
         "CODE_QUALITY", "JAVAPARSER_AST", "", "metric",
     ),
     Rule(
-        "QA-COMPLEXITY-001", "MEDIUM", "", "High cyclomatic complexity: {subject}",
-        "Method '{subject}' has cyclomatic complexity {measured} (limit {limit}).",
+        "QA-COMPLEXITY-001", "MEDIUM", "", "Too many ways through {subject}",
+        "The branches of '{subject}' give it complexity {measured}, limit {limit}; each path wants a test.",
         "Move branches into methods of their own.",
         "CODE_QUALITY", "JAVAPARSER_AST", "", "metric",
     ),
     Rule(
-        "QA-NESTING-001", "LOW", "", "Deep nesting in: {subject}",
-        "Method '{subject}' nests control statements {measured} deep (limit {limit}).",
+        "QA-NESTING-001", "LOW", "", "{subject} buries its work under blocks",
+        "In '{subject}' {measured} control statements stand inside each other; limit {limit}.",
         "Return early, or move inner blocks out.",
         "CODE_QUALITY", "JAVAPARSER_AST", "", "metric",
     ),

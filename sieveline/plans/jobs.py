@@ -6,20 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..session import folders_of
 
+_BATCH = "saved_batch"
 STATUS_COLUMNS = ("job_id", "status", "project_name", "started_at", "completed_at", "error_message", "total_findings")
 
 
-def save_jobs(states: DataFrame, path: str, time: str = "updated_at", files_per_day: int = 8) -> None:
-    """Append states, one partition per day, so that reading recent ones prunes by date. The states of a day are dealt over
-    ``files_per_day`` tasks, however many tasks they come from, so that a day gets few files and a busy day no hot task."""
+def save_jobs(states: DataFrame, path: str, time: str = "updated_at", files_per_day: int = 8, batch_id: str | None = None) -> str:
+    """Append a batch of states, one partition per day, so that reading recent ones prunes by date. The states of a day are dealt
+    over ``files_per_day`` tasks, however many tasks they come from, so that a day gets few files and a busy day no hot task.
+
+    A batch has a folder of its own, which is written over when the batch is saved again: a retried append reads as one. Its name is
+    ``batch_id``, or else comes from the states themselves, so that equal batches have equal names. Returns it.
+    """
+    if batch_id is None:
+        seen = states.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(*states.columns).cast("decimal(38,0)")), F.lit(0))).first()
+        batch_id = f"{seen[0]}-{int(seen[1]) % 2**64:016x}"
     dated = states.withColumn("updated_on", F.to_date(time)).withColumn("_share", F.pmod(F.xxhash64("job_id", time), F.lit(files_per_day)))
     dealt = dated.repartition("updated_on", "_share").drop("_share")
-    dealt.write.mode("append").partitionBy("updated_on").parquet(path)
+    dealt.write.mode("overwrite").partitionBy("updated_on").parquet(f"{path}/{_BATCH}={batch_id}")
+    return batch_id
 
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All states saved. Batches that have not been written to the end are left out."""
+    names = [n for n in folders_of(spark, path, complete=True) if n.startswith(f"{_BATCH}=")]
+    if not names:
+        raise FileNotFoundError(f"no states have been saved in {path}")
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in sorted(names)]).drop(_BATCH)
 
 
 def latest_jobs(states: DataFrame, time: str = "updated_at", tie: str | None = None, key: str = "job_id") -> DataFrame:

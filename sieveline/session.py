@@ -19,3 +19,22 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(frame.sparkSession, purpose)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _store(spark: SparkSession, path: str):
+    """The file system of a path, as Spark itself reaches it, and the path."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folders_of(spark: SparkSession, path: str, complete: bool = False) -> list[str]:
+    """Names of the folders in a folder, which need not be there; with ``complete`` those that a finished write has marked."""
+    store, place = _store(spark, path)
+    names = [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()] if store.exists(place) else []
+    return [n for n in names if not complete or store.exists(_store(spark, f"{path}/{n}/_SUCCESS")[1])]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written."""
+    store, place = _store(spark, path)
+    store.delete(place, True)

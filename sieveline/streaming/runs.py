@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..plans.jobs import expire_jobs, latest_jobs
 from ..plans.scan import security_scan
+from ..session import folders_of, remove_folder
 
 
 def _start(writer, trigger: dict | None):
@@ -22,24 +24,52 @@ def stream_security_scan(files: DataFrame, out: str, checkpoint: str, trigger: d
 
 
 def stream_latest_status(
-    states: DataFrame, out: str, checkpoint: str, time: str = "updated_at", tie: str = "event_id", trigger: dict | None = None
+    states: DataFrame, out: str, checkpoint: str, time: str = "updated_at", tie: str = "event_id", trigger: dict | None = None,
+    compact_every: int = 10, retention_hours: int | None = None,
 ):
-    """Keep the latest state per job. The running maximum per job is the only state; every micro-batch appends the jobs
-    it changed under its own batch number, and writing a batch again replaces it, so retries do no harm."""
-    rest = [c for c in states.columns if c != "job_id"]
-    latest = states.groupBy("job_id").agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("state")).select("job_id", "state.*")
+    """Keep the latest state per job below ``out``.
+
+    The stream itself has no state. Every micro-batch writes the latest state of each of its jobs under its own number, and every
+    ``compact_every`` batches what is there becomes one snapshot, the newest state of a job winning, so that folders stay few
+    however long the stream runs. Batches and snapshots are written over when they are written again, and what a snapshot was made
+    from goes only with the next one, so retries do no harm. With ``retention_hours`` a snapshot leaves out jobs that were
+    completed longer ago than that, seen from its newest state.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        latest_jobs(batch, time, tie).write.mode("overwrite").parquet(f"{out}/batch-{batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        before = batch_id - compact_every
+        parts = [p for p in _parts(spark, out) if p[1] > before or p == ("snapshot", before)]
+        merged = latest_jobs(_read(spark, out, [p for p in parts if p[1] <= batch_id and p != ("snapshot", batch_id)]), time, tie)
+        if retention_hours is not None:
+            now = merged.agg(F.max(time)).first()[0]
+            merged = expire_jobs(merged, F.lit(now).cast(merged.schema[time].dataType), retention_hours)
+        merged.write.mode("overwrite").parquet(f"{out}/snapshot-{batch_id}")
+        for part in _parts(spark, out):
+            if part not in parts and part != ("snapshot", batch_id):
+                remove_folder(spark, f"{out}/{part[0]}-{part[1]}")
+
+    return _start(states.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
+
+
+def _parts(spark: SparkSession, out: str) -> list[tuple[str, int]]:
+    """Kind and number of the batches and snapshots that are complete."""
+    names = [n.rsplit("-", 1) for n in folders_of(spark, out, complete=True)]
+    return sorted((kind, int(number)) for kind, number in names if kind in ("batch", "snapshot"))
+
 
-    return _start(latest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint), trigger)
+def _read(spark: SparkSession, out: str, parts: list[tuple[str, int]]) -> DataFrame:
+    return spark.read.parquet(*[f"{out}/{kind}-{number}" for kind, number in parts])
 
 
-def read_latest_status(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of every job out of the batches."""
-    changes = spark.read.parquet(out)
-    rest = [c for c in changes.columns if c not in ("job_id", "batch")]
-    return changes.groupBy("job_id").agg(F.max_by(F.struct(*rest), "batch").alias("state")).select("job_id", "state.*")
+def read_latest_status(spark: SparkSession, out: str, time: str = "updated_at", tie: str = "event_id") -> DataFrame:
+    """The newest version of every job: the last snapshot and the batches after it."""
+    parts = _parts(spark, out)
+    last = max((n for kind, n in parts if kind == "snapshot"), default=-1)
+    return latest_jobs(_read(spark, out, [p for p in parts if p == ("snapshot", last) or p[0] == "batch" and p[1] > last]), time, tie)
 
 
 def _retention(hours: int):

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"quality_scan", "method_facts", "all_findings_with_methods", "find_files", "tree_size"}
+ROWS_ONLY = {"find_files", "tree_size"}
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,11 @@
 """Method facts against programs that are generated together with their answers."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
+from sieveline.operators.java_tokens import method_facts_of
 from sieveline.operators.methods import method_facts
 from sieveline.plans import scan
 
@@ -200,6 +202,33 @@ def test_brackets_of_any_depth(files):
     assert facts_of(files, "void f(@Min(a > b, c) int a, @X(y < z) int b) { }") == [("f", 1, 2, 1, 0)]
 
 
+def test_brackets_five_hundred_deep(files):
+    deep, at = "f(" * 500 + "1" + ")" * 500, "@A(" + "(" * 500 + ")" * 500 + ")"
+    text = f"void g() {{ for (int i = {deep}; i < {deep}; i++) {{ if ({deep} > 1) {{ x(); }} }} }}\n{at}\nvoid h({at} int a, int b) {{ }}"
+    assert facts_of(files, text) == [("g", 1, 0, 3, 2), ("h", 2, 2, 1, 0)]
+    blocks = "void f() { " + "if (a) { " * 2000 + "x();" + " }" * 2000 + " }"
+    assert facts_of(files, blocks) == [("f", 1, 0, 2001, 2000)]
+
+
+def test_time_is_linear_in_methods_and_depth():
+    def seconds(text):
+        began = time.perf_counter()
+        method_facts_of(text)
+        return time.perf_counter() - began
+
+    methods = "void m(int a) { if (a) x(); }\n"
+    assert seconds(methods * 20_000) < 12 * seconds(methods * 5_000)  # four times, with much room for a busy machine
+    for text in ("f(" * 100_000, "{" * 100_000 + "}" * 100_000, "x<" * 50_000 + "y> f(int a) { }", "a.b " * 100_000, "for (" * 50_000 + ";"):
+        assert seconds(text) < 10
+
+
+def test_odd_texts_of_tokens():
+    assert method_facts_of("") == [] == method_facts_of("}}}} )) (( ;;") and method_facts_of("f(") == []
+    assert method_facts_of("void f(int a) { } void g(") == [("f", 1, 1, 1, 1, 0)]
+    assert method_facts_of("int[] f(int a)[] throws A, b.C;") == [("f", 1, 1, 1, 1, 0)]
+    assert method_facts_of("a.b<C>.d g(int x) { }") == []  # no plain type before the name
+
+
 def test_lambdas_in_conditions(files):
     assert facts_of(files, "void f() { if (xs.anyMatch(x -> { return x > 1; })) { if (a) { y(); } } }") == [("f", 1, 0, 3, 2)]
     assert facts_of(files, "void f() { while (xs.any(x -> { if (x) return a; return b; })) { y(); } }") == [("f", 1, 0, 3, 1)]
@@ -232,7 +261,7 @@ def test_metric_rules_are_strictly_above_the_limit(files, spark):
     table = files({"at.java": method(50), "over.java": method(51), "params.java": "void f(int a, int b, int c, int d, int e, int f) { }"})
     rows = scan.quality_scan(table).select("file_path", "rule_id", "title", "line_number").collect()
     assert sorted(map(tuple, rows)) == [
-        ("over.java", "QA-LONG-METHOD-001", "Long method: f", 1), ("params.java", "QA-PARAMS-001", "Too many parameters: f", 1)]
+        ("over.java", "QA-LONG-METHOD-001", "Body of f is too long to take in", 1), ("params.java", "QA-PARAMS-001", "f asks for too many arguments", 1)]
     strict = scan.quality_scan(table, limits={"QA-LONG-METHOD-001": 49}).where("rule_id = 'QA-LONG-METHOD-001'")
     assert strict.count() == 2 and strict.where(F.col("description").contains("limit 49")).count() == 2
 
