@@ -1,6 +1,6 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors; a container's points are discounted by the share of its
+Paragraphs pass points for their length and commas to their ancestors, fewer from level to level; a container's points are discounted by the share of its
 text that is links. The container with most points is the article (or what encloses it, if the page marks that as one), together
 with siblings that read like it. Parts that are no article by their element, role or class take no part.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,12 +19,12 @@ from sieveline.llm.tables import documents_of
 
 # Element names of HTML and the words pages use for what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp svg math select object".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp svg".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li"
     " main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-UNWANTED = frozenset("nav footer aside form button dialog menu head label fieldset".split())
+UNWANTED = frozenset("nav footer aside form button dialog menu head label fieldset select datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead topbar ad ads adv advert adverts advertisement advertising"
@@ -31,6 +32,10 @@ WORDS = frozenset(
     " social related recommended comment comments commentlist disqus respond reply replies discussion subscribe subscription newsletter signup login register"
     " pagination pager toolbar widget search".split()
 )
+# Beside those words in a name they say nothing: comment-list, share-box. Other words do: related-work is a part of the article.
+FILLERS = frozenset("area bar block body box button buttons container content form group inner item items left link links list main right row section thread top bottom wrap wrapper".split())
+# Inside an article a part may be named so for what it is about.
+TOPICS = frozenset("alert discussion notice notices notification promotion register registration related response search social".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table td th article section div body main".split())
 SCORED = frozenset("p pre td blockquote li dd".split())
@@ -44,12 +49,20 @@ LEAST_LENGTH = 25
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "kids", "wanted", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "kids", "wanted", "in_article", "block", "open", "given", "later", "length", "linked")
 
     def __init__(self, tag: str, parent: _Element | None, wanted: bool):
         self.tag, self.parent, self.wanted = tag, parent, wanted
         self.kids: list[_Element | str] = []
-        self.points, self.length, self.linked = 0.0, 0, 0
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        # the block it stands in or is, and how many elements of each inline tag are open there
+        self.block: _Element = self if parent is None or tag in BLOCKS else parent.block
+        self.open: dict[str, int] = {}
+        self.given, self.later, self.length, self.linked = 0.0, 0.0, 0, 0
+
+    @property
+    def points(self) -> float:
+        return self.given + self.later
 
 
 def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
@@ -63,18 +76,40 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & (WORDS - {"header"} if in_article else WORDS):
-                return True
+        if name in ("class", "id") and any(_names_no_article(token, tag, name, in_article) for token in value.split()):
+            return True
     return False
 
 
+def _names_no_article(token: str, tag: str, attribute: str, in_article: bool) -> bool:
+    """Whether one class or id says that its element is no article. Inside an article all of it must say so, and an id or a section
+    may be named for its topic."""
+    words = {w for w in re.split(r"[^a-z]+", token) if w}
+    if not in_article:
+        return bool(words & WORDS)
+    signs = words & WORDS - {"header"}
+    if attribute == "id" or tag == "section":
+        signs -= TOPICS
+    return bool(signs) and words <= WORDS | FILLERS
+
+
 def parse(page: str) -> _Element:
     """The tree of a page; tags that are missing are put in where browsers do so, and what follows the last `<` of a page that
     was cut off inside a tag is dropped."""
     root = _Element("html", None, True)
-    here, at, end = root, 0, len(page)
+    here, at, end, met = root, 0, len(page), set()
+    open_blocks: Counter[str] = Counter()
+
+    def close_to(node: _Element) -> None:
+        """Close what is open below node."""
+        nonlocal here
+        while here is not node:
+            if here.tag in BLOCKS:
+                open_blocks[here.tag] -= 1
+            else:
+                here.block.open[here.tag] -= 1
+            here = here.parent
+
     while at < end:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else end]
@@ -87,26 +122,26 @@ def parse(page: str) -> _Element:
             continue
         tag = found[2].lower()
         if found[1]:
-            node = here
-            while node is not root and node.tag != tag and not (tag not in BLOCKS and node.tag in BLOCKS):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                here = node.parent
+            # an end tag without its start tag costs nothing, however deep the place
+            if open_blocks[tag] > 0 if tag in BLOCKS else here.block.open.get(tag, 0) > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                close_to(node.parent)
             continue
-        if tag in ("html", "body") and any(k.tag == tag for k in root.kids if isinstance(k, _Element)) or tag == "html":
+        if tag == "html" or tag == "body" and tag in met:
             continue
+        met.add(tag)
         closes = {"p"} if tag in BLOCKS else set()
         closes |= CLOSED_BY.get(tag, set())
-        node = here
-        while closes and node is not root and node.tag not in (SCOPES - closes):
-            if node.tag in closes:
-                here = node.parent
-            node = node.parent
-        in_article = False
-        node = here
-        while node is not None and not in_article:
-            in_article, node = node.tag in ("article", "main"), node.parent
-        element = _Element(tag, here, not _unwanted(tag, found[3], in_article))
+        if any(open_blocks[c] > 0 if c in BLOCKS else here.block.open.get(c, 0) > 0 for c in closes):
+            node, upto = here, here
+            while node is not root and node.tag not in (SCOPES - closes):
+                if node.tag in closes:
+                    upto = node.parent
+                node = node.parent
+            close_to(upto)
+        element = _Element(tag, here, not _unwanted(tag, found[3], here.in_article))
         here.kids.append(element)
         if tag in RAW:
             element.wanted = False
@@ -114,6 +149,10 @@ def parse(page: str) -> _Element:
             at = close.end() if close else end
         elif tag not in VOID and not found[3].rstrip().endswith("/"):
             here = element
+            if tag in BLOCKS:
+                open_blocks[tag] += 1
+            else:
+                element.block.open[tag] = element.block.open.get(tag, 0) + 1
     return root
 
 
@@ -131,12 +170,12 @@ def _measure(root: _Element) -> list[_Element]:
         node.linked = node.length if node.tag == "a" else sum(k.linked for k in below)
         if node.length >= LEAST_LENGTH and (node.tag in SCORED or len(own.strip()) >= LEAST_LENGTH and node.tag in ("div", "section", "article", "main", "body")):
             points = (1 + own.count(",") + min(node.length / 100, 3.0)) * (1 - node.linked / node.length)
-            up, share = node if node.tag not in SCORED else node.parent, 1.0
-            level = 0
-            while up is not None:
-                level += 1
-                up.points += points * (1.0 if level == 1 else 0.5 if level == 2 else 1 / (3 * level))
-                up = up.parent
+            up = node if node.tag not in SCORED else node.parent
+            if up is not None:
+                up.given += points
+    for node in reversed(order):  # half to the next one up, and of what came from below, a third goes on
+        if node.parent is not None:
+            node.parent.later += 0.5 * node.given + node.later / 3
     return [n for n in order if n.points > 0]
 
 
@@ -167,6 +206,18 @@ def _article(root: _Element) -> list[_Element]:
     return kept
 
 
+def _menus(part: _Element) -> list[_Element]:
+    """Lists and boxes of links with which a container that the page does not mark as article begins or ends."""
+    kids = [k for k in part.kids if isinstance(k, _Element) and k.wanted and k.length or isinstance(k, str) and k.strip()]
+    out = []
+    for side in (kids, kids[::-1]):
+        for k in side:
+            if not isinstance(k, _Element) or k.tag not in ("ul", "ol", "div", "table", "section") or _density(k) <= 0.5:
+                break
+            out.append(k)
+    return out
+
+
 def _blocks(parts: list[_Element]) -> list[str]:
     out, run = [], []
 
@@ -176,6 +227,7 @@ def _blocks(parts: list[_Element]) -> list[str]:
         if text:
             out.append(text)
 
+    menus = {id(m) for part in parts if not part.in_article for m in _menus(part)}
     stack: list[_Element | str | None] = list(reversed(parts))
     while stack:
         item = stack.pop()
@@ -186,7 +238,7 @@ def _blocks(parts: list[_Element]) -> list[str]:
         elif item.tag == "br":
             run.append(" ")
         elif item.wanted:
-            if item.tag in ("ul", "ol", "div", "table", "section") and item.length and _density(item) > 0.5 and item not in parts:
+            if id(item) in menus:
                 continue
             if item.tag in BLOCKS:
                 close()
