@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from sieveline.plans import jobs as JB
 from sieveline.plans import report as RP
 from sieveline.plans import scan as SC
 from sieveline.session import shared_folder
+from sieveline.sources import archive_files as AF
 from sieveline.sources import archives as AR
 from sieveline.sources import requests as RQ
 from sieveline.sources import trees as TR
@@ -136,6 +139,91 @@ def archive_sources(spark, sf):
     return AR.archive_sources(archives).withColumn("content", F.md5("content"))
 
 
+def _project_archives(spark, sf):
+    """One archive file per project in the shared folder, with all its source files, and beside each an entry that is too large, one
+    that is no text, one above the target and one in a skipped folder. Written by tasks, as every executor sees the folder."""
+    root = shared_folder(spark, "archives")
+    place = unquote(urlparse(root).path)
+
+    def write(project):
+        os.makedirs(place, exist_ok=True)
+        with zipfile.ZipFile(f"{place}/{project['job_id'].iloc[0]}.zip", "w", zipfile.ZIP_DEFLATED) as bundle:
+            for path, text in zip(project["path"], project["content"]):
+                bundle.writestr(f"a/./b/../{path}", text)
+                bundle.writestr(f"big/{path}", "x" * 20_000)
+                bundle.writestr(f"odd/{path}", b"\xff\xfe")
+                bundle.writestr(f"a/../../{path}", text)
+                bundle.writestr(f"x/node_modules/{path}", text)
+        return project[["job_id"]].head(1)
+
+    files = source_files(spark, sf).withColumn("path", F.replace("path", F.lit("\\"), F.lit("_")))
+    files.groupBy("job_id").applyInPandas(write, "job_id string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+_ARCHIVED = f"""archived AS MATERIALIZED (SELECT job_id || '.zip' AS job_id, path, content FROM (SELECT job_id, content, replace(path, '\\', '_') AS path FROM src)
+    WHERE {S.any_suffix('path', C.SUPPORTED_EXTENSIONS)} AND NOT {S.in_any_part('path', C.SKIPPED_DIRECTORIES)})"""
+
+
+@query("archive_tree", S.with_ctes(S.SRC, _ARCHIVED, select="SELECT job_id, 'a/' || path AS path, md5(content) AS content FROM archived WHERE octet_length(encode(content)) <= 10000"))
+def archive_tree(spark, sf):
+    """Archive files of projects, read by range in slices."""
+    return AF.archive_tree(spark, _project_archives(spark, sf), max_bytes=10_000, split_bytes=1 << 20).withColumn("content", F.md5("content"))
+
+
+@query("archive_rejects", S.with_ctes(S.SRC, _ARCHIVED, select="""
+    SELECT job_id, unnest(['big/' || path, 'odd/' || path, 'a/../../' || path]) AS path,
+           unnest(['larger than 10000 bytes', 'not text', 'outside the target directory']) AS reject_reason FROM archived
+    UNION ALL SELECT job_id, 'a/' || path, 'larger than 10000 bytes' FROM archived WHERE octet_length(encode(content)) > 10000"""))
+def archive_rejects(spark, sf):
+    """What the scan of the same archives would have looked at and cannot keep."""
+    return AF.archive_tree(spark, _project_archives(spark, sf), max_bytes=10_000, rejected=True)
+
+
+def _uploads_with_content(spark, sf):
+    """The derived uploads with something in them: the source file of the order, or an archive that holds it."""
+    key = F.regexp_extract("path", r"C(\d+)\.\w+$", 1)
+    texts = source_files(spark, sf).select(F.concat(F.lit("job-"), key).alias("job_id"), F.replace("path", F.lit("\\"), F.lit("_")).alias("path"), "content")
+    zipped = texts.select("job_id", F.lit("p").alias("path"), "content", F.col("path").alias("inner")).withColumnRenamed("inner", "archive")
+
+    def pack(batches):
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["archive"], batch["content"]):
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w") as bundle:
+                    bundle.writestr(path, text)
+                    bundle.writestr("notes.txt", text)
+                out.append(buffer.getvalue())
+            yield pd.DataFrame({"job_id": batch["job_id"], "zip": out})
+
+    uploads = D.uploads(spark, sf).join(texts, "job_id").join(zipped.mapInPandas(pack, "job_id string, zip binary"), "job_id")
+    content = F.when(F.col("file_name").endswith(".zip"), F.col("zip")).otherwise(F.encode("content", "UTF-8"))
+    return uploads.select("job_id", "file_name", "length", content.alias("content"))
+
+
+@query("uploaded_findings", S.with_ctes(
+    S.SRC, f"uploads AS ({D.UPLOADS_SQL})", f"""let_in AS MATERIALIZED (SELECT u.job_id, CASE WHEN ends_with(file_name, '.zip') THEN s.path ELSE file_name END AS path, content
+        FROM uploads u JOIN (SELECT 'job-' || regexp_extract(path, 'C([0-9]+)[.][a-z]+$', 1) AS job_id, replace(path, '\\', '_') AS path, content FROM src) s USING (job_id)
+        WHERE length > 0 AND length <= {C.MAX_UPLOAD_BYTES} AND regexp_full_match(file_name, '[a-zA-Z0-9._-]+') AND NOT contains(file_name, '..')
+          AND (NOT ends_with(file_name, '.zip') OR {S.any_suffix('s.path', C.SUPPORTED_EXTENSIONS)} AND NOT {S.in_any_part('s.path', C.SKIPPED_DIRECTORIES)}))""",
+    S.views("let_in", S.SCOPE), *S.SECURITY_CTES[2:], select="SELECT job_id, path, rule_id, line_number::BIGINT AS line_number FROM security"))
+def uploaded_findings(spark, sf):
+    """From uploads, single files and archives, to the findings of the security scan."""
+    found = SC.security_hits(RQ.uploaded_sources(_uploads_with_content(spark, sf)))
+    return found.withColumn("line_number", F.col("line_number").cast("bigint"))
+
+
+@query("rejected_files", "SELECT DISTINCT event_type AS kind, 'not text' AS reject_reason FROM events WHERE event_type IN ('click', 'purchase')")
+def rejected_files(spark, sf):
+    """Events written out as a tree in which the files of two kinds are no UTF-8 text: these are named, the others are not."""
+    events = D.table(spark, sf, "events", "event_id", "event_type", "props")
+    root = shared_folder(spark, "tree")
+    for kind, charset in (("view", "UTF-8"), ("click", "UTF-16"), ("purchase", "UTF-16"), ("signup", "UTF-8")):
+        events.where(F.col("event_type") == kind).select("event_id", "props").write.option("encoding", charset).option("lineSep", "\n").json(f"{root}/src/{kind}")
+    return TR.rejected_files(spark, root).select(F.regexp_extract("path", r"src/(\w+)/", 1).alias("kind"), "reject_reason").distinct()
+
+
 # ---- chunks and prompts ---------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.checks import is_blank, is_safe_file_name, is_valid_git_url
+from .archives import archive_sources
 
 
 def route_requests(requests: DataFrame) -> DataFrame:
@@ -40,7 +41,15 @@ def route_uploads(uploads: DataFrame) -> DataFrame:
     return uploads.withColumns({"route": route, "reject_reason": reason})
 
 
+def uploaded_sources(uploads: DataFrame, preset: str = "default") -> DataFrame:
+    """(job_id, path, content) of all uploads that are let in (job_id, file_name, length, content binary): a single file as it is, of an
+    archive the entries a tree scan would keep."""
+    archives = route_uploads(uploads).where(F.col("route") == "archive")
+    expanded = archive_sources(archives.select(F.col("job_id").alias("archive"), "content"), preset)
+    return upload_sources(uploads).unionByName(expanded)
+
+
 def upload_sources(uploads: DataFrame) -> DataFrame:
-    """(job_id, path, content) of the single-file uploads; archives go through ``archive_sources``."""
+    """(job_id, path, content) of the single-file uploads; archives go through ``archive_sources``, see ``uploaded_sources``."""
     routed = route_uploads(uploads).where(F.col("route") == "file")
     return routed.select("job_id", F.col("file_name").alias("path"), F.col("content").cast("string").alias("content"))
