@@ -46,14 +46,20 @@ def security_text_pass(spark, sf):
 
 @query("merge_passes", S.with_ctes(*S.SECURITY_CTES, select=f"SELECT {HIT} FROM security"))
 def merge_passes(spark, sf):
-    scope = SC.scan_scope(source_files(spark, sf))
-    return _hits(FN.merge_passes(MT.line_pass(scope, SECURITY_RULES), MT.text_pass(scope, SECURITY_RULES)))
+    return _hits(FN.merge_tagged(MT.both_passes(SC.scan_scope(source_files(spark, sf)), SECURITY_RULES)))
+
+
+@query("found_by_pass", S.with_ctes(*S.SECURITY_CTES, select="""
+    SELECT rule_id, CASE WHEN l.path IS NULL THEN 'text' ELSE 'line' END AS found_by, count(*) AS hits
+    FROM security s LEFT JOIN (SELECT DISTINCT * FROM sec_line) l USING (job_id, path, rule_id, line_number) GROUP BY ALL"""))
+def found_by_pass(spark, sf):
+    merged = FN.merge_tagged(MT.both_passes(SC.scan_scope(source_files(spark, sf)), SECURITY_RULES))
+    return merged.groupBy("rule_id", "found_by").agg(F.count("*").alias("hits"))
 
 
 @query("dedupe_findings", S.with_ctes(*S.SECURITY_CTES, select=f"SELECT {HIT} FROM security"))
 def dedupe_findings(spark, sf):
-    scope = SC.scan_scope(source_files(spark, sf))
-    both = MT.line_pass(scope, SECURITY_RULES).unionByName(MT.text_pass(scope, SECURITY_RULES))
+    both = MT.both_passes(SC.scan_scope(source_files(spark, sf)), SECURITY_RULES)
     return _hits(FN.dedupe_findings(both, FN.HIT_KEY))
 
 

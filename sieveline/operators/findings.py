@@ -22,6 +22,12 @@ def merge_passes(line_hits: DataFrame, text_hits: DataFrame, key=HIT_KEY) -> Dat
     return line_hits.unionByName(fresh)
 
 
+def merge_tagged(hits: DataFrame, key=HIT_KEY) -> DataFrame:
+    """What ``merge_passes`` gives, from the hits of ``both_passes``: each place of a rule once, with ``found_by`` the line pass where
+    that has hit there. The anti join is an aggregate on the tag, so the texts are scanned once and only small rows move."""
+    return hits.groupBy(*key).agg(F.min("found_by").alias("found_by"))  # line comes before text
+
+
 def dedupe_findings(findings: DataFrame, key=("job_id", "rule_id", "file_path", "line_number")) -> DataFrame:
     """One row per (job, rule, file, line). Rows with equal keys are equal; nulls count as equal."""
     return findings.dropDuplicates(list(key))

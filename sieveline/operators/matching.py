@@ -20,6 +20,7 @@ from .rule_catalog import Rule
 KEYS = ("job_id", "path")
 HITS = "array<struct<rule_id:string,line_number:int,subject:string,measured:int>>"
 _NO_LINES = "array<int>"
+_TAGGED = "array<struct<rule_id:string,line_number:int,found_by:string>>"
 
 
 def explode_lines(files: DataFrame, content: str = "content", keys=KEYS) -> DataFrame:
@@ -155,6 +156,20 @@ def text_pass(files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None
     return match_rules(files, _single_scope(rules, "text"), keys, in_scope)
 
 
+def both_passes(files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None) -> DataFrame:
+    """(keys, rule_id, line_number, found_by): the hits of the line part (``line``) and of the whole-text part (``text``) of the rules,
+    told apart by a tag. The texts are read and masked once for both."""
+    single = [(r, scope) for scope in ("line", "text") for r in _single_scope(rules, scope)]
+    _, staged = _staged(files, [r for r, _ in single], keys, in_scope)
+    hits = F.concat(*[_tagged(r, scope) for r, scope in single if r.pattern])
+    return staged.select(*keys, F.inline(F.when(F.col("_scope"), hits).otherwise(F.array().cast(_TAGGED))))
+
+
+def _tagged(rule: Rule, scope: str) -> Column:
+    return F.transform(_rule_lines(rule), lambda n: F.struct(
+        F.lit(rule.rule_id).alias("rule_id"), n.alias("line_number"), F.lit(scope).alias("found_by")))
+
+
 def rule_hit_counts(files: DataFrame, rules, rule_table: DataFrame, keys=KEYS, in_scope=None) -> DataFrame:
     """Hits and files per rule, silent rules included with zero. The rule x file x line loop stays inside the rows;
     only one small row per rule and partition is shuffled."""

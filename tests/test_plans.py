@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sieveline.operators import chunks as CH
 from sieveline.operators import metrics as MR
-from sieveline.operators.matching import match_rules
+from sieveline.operators.findings import HIT_KEY, dedupe_findings, merge_passes, merge_tagged
+from sieveline.operators.matching import both_passes, line_pass, match_rules, text_pass
 from sieveline.operators.methods import method_facts
 from sieveline.operators.rule_catalog import QUALITY_RULES, SECURITY_RULES
 from sieveline.plans import scan
@@ -54,6 +55,16 @@ def test_text_is_masked_once_and_never_shuffled(spark, tmp_path):
             assert "content" not in exchange
 
 
+def test_both_passes_come_from_one_scan(spark, tmp_path):
+    files = scan.scan_scope(stored(spark, tmp_path))
+    hits = both_passes(files, SECURITY_RULES)
+    for frame in (merge_tagged(hits), dedupe_findings(hits, HIT_KEY)):
+        assert optimized(frame).count(LEXER) == 1 and plan(frame).count("FileScan parquet") == 1
+        assert plan(frame).count("Exchange") == 1 and "Join" not in plan(frame)
+    merged = merge_passes(line_pass(files, SECURITY_RULES), text_pass(files, SECURITY_RULES)).select(*HIT_KEY)
+    assert merged.exceptAll(merge_tagged(hits).select(*HIT_KEY)).count() == 0 == merge_tagged(hits).select(*HIT_KEY).exceptAll(merged).count()
+
+
 def test_path_scope_is_filtered_at_the_scan_and_rules_are_broadcast(spark, tmp_path):
     text = plan(scan.security_scan(stored(spark, tmp_path)))
     assert "unused" not in text
