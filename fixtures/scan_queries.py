@@ -18,7 +18,7 @@ from . import derived as D
 from . import method_sql as M
 from . import sql_parts as S
 from .registry import query
-from .source_tables import source_files
+from .source_tables import source_files, source_files_sql
 
 HIT = "job_id, path, rule_id, line_number::BIGINT AS line_number"
 
@@ -253,6 +253,36 @@ def explode_lines(spark, sf):
     return lines.select("path", F.col("line_number").cast("bigint").alias("line_number"), "line")
 
 
+# Every second line feed of a file becomes one of the other line breaks, by the file's number.
+_BREAKS = (12, 11, 133, 8232, 8233)
+_BREAK_SQL = ", ".join(f"chr({b})" for b in _BREAKS)
+BROKEN = f"""src AS MATERIALIZED (SELECT job_id, path, regexp_replace(content, '\\n([^\\n]*)\\n', chr(10) || '\\1' || ([{_BREAK_SQL}])[(len(path) % 5 + 1)::INT], 'g') AS content
+    FROM ({source_files_sql()}))"""
+_ANY_BREAK = "'\\r\\n|[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]'"
+
+
+def _broken_files(spark, sf):
+    marks = F.array(*[F.lit(chr(b)) for b in _BREAKS])
+    one = F.element_at(marks, (F.length("path") % 5 + 1).cast("int"))
+    return source_files(spark, sf).withColumn("content", F.regexp_replace("content", F.lit("\n([^\n]*)\n"), F.concat(F.lit("\n$1"), one)))
+
+
+@query("explode_any_lines", S.with_ctes(BROKEN, select=f"""
+    SELECT path, unnest(range(1, len(string_split_regex(content, {_ANY_BREAK})) + 1)) AS line_number, unnest(string_split_regex(content, {_ANY_BREAK})) AS line FROM src"""))
+def explode_any_lines(spark, sf):
+    """Lines of texts with form feeds, vertical tabs, next-line and separator characters."""
+    lines = MT.explode_lines(_broken_files(spark, sf))
+    return lines.select("path", F.col("line_number").cast("bigint").alias("line_number"), "line")
+
+
+@query("as_coded_any_lines", S.with_ctes(BROKEN, S.views(where=S.SCOPE), f"""lines AS MATERIALIZED (
+    SELECT job_id, path, unnest(range(1, len(string_split_regex(v_masked, {_ANY_BREAK})) + 1)) AS n, unnest(string_split_regex(v_masked, {_ANY_BREAK})) AS v_masked FROM views)""",
+    select=f"SELECT {HIT} FROM ({S.line_pass(_NO_AUTH)})"))
+def as_coded_any_lines(spark, sf):
+    """The line pass of the rules taken literally, on such texts."""
+    return _hits(MT.line_pass(SC.scan_scope(_broken_files(spark, sf)), _NO_AUTH, any_break=("masked",)))
+
+
 @query("count_lines", S.with_ctes(S.SRC, select=f"SELECT path, {S.line_count_fast('content')} AS lines FROM src"))
 def count_lines(spark, sf):
     return source_files(spark, sf).select("path", T.line_count("content").cast("bigint").alias("lines"))

@@ -393,6 +393,20 @@ def reply_findings(spark, sf):
     return found.withColumn("line_number", F.col("line_number").cast("bigint")).drop("category")
 
 
+@query("replies_with_repeated_keys", """SELECT event_id, 'S' || event_id AS summary, 'T' || event_id AS title, 'HIGH' AS severity, event_id % 9 AS line_number FROM events""")
+def replies_with_repeated_keys(spark, sf):
+    """Replies in which every object repeats its keys: the last value of each counts."""
+    rows = D.table(spark, sf, "events", "event_id")
+    n = F.col("event_id").cast("string")
+    text = F.concat(
+        F.lit('```json {"summary": "first", "findings": "none", "summary": "S'), n, F.lit('", "findings": [{"title": 1, "severity": "low", "title": "T'), n,
+        F.lit('", "lineHint": 77, "severity": "high", "lineHint": '), (F.col("event_id") % 9).cast("string"), F.lit("}]} ```"))
+    given = rows.select("event_id", F.lit("j").alias("job_id"), n.alias("file_path"), F.lit(0).alias("chunk_index"), F.lit("beta").alias("provider"), text.alias("reply"))
+    parsed = R.parse_chunk_replies(given)
+    found = R.reply_findings(parsed).select(F.col("file_path").cast("bigint").alias("event_id"), "title", "severity", F.col("line_number").cast("bigint").alias("line_number"))
+    return parsed.select("event_id", "summary").join(found, "event_id")
+
+
 @query("parse_severity", S.with_ctes(_REPLIES, select=f"""
     SELECT s, {_SEVERITY} AS severity, count(*) AS n FROM (SELECT regexp_extract(reply, '"severity": "(\\w*)"', 1) AS s FROM replies) GROUP BY 1, 2"""))
 def parse_severity(spark, sf):

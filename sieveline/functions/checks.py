@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as C
+from .json_values import is_json
 
 _BLANK = r"\A[\x00-\x20]*\z"
 
@@ -112,7 +113,7 @@ def is_ascii(c) -> Column:
 
 
 def is_valid_json(c) -> Column:
-    return ~is_blank(c) & F.try_parse_json(_col(c)).isNotNull()
+    return ~is_blank(c) & is_json(c)
 
 
 def is_camel_case(c) -> Column:

@@ -10,6 +10,27 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# What the JSON standard does not allow stays out.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def is_json(json) -> Column:
+    """Whether a text begins with a JSON value of any kind; what follows that value is not looked at. An object may repeat a key. A
+    null is no JSON."""
+    text = _col(json)
+    # this parser keeps the last value of a repeated key, the other refuses it; as the element of an array, scalars parse too
+    element = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)) > 0
+    fields = F.from_json(F.when(text.rlike(r"\A\s*\{"), text), "map<string,string>", _STRICT).isNotNull()
+    return F.try_parse_json(text).isNotNull() | fields | F.coalesce(element, F.lit(False))
+
+
+def parsed(json, schema: str) -> Column:
+    """A text as a variant, null if it is no JSON. Where an object repeats a key, the fields of ``schema`` are read, the last value of
+    a key winning."""
+    text = _col(json)
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.to_json(F.from_json(F.when(is_json(text), text), schema, _STRICT))))
+
+
 def extract_value(json, path: str) -> Column:
     """Text at a dotted path of object keys, null where it is missing. Containers come back as JSON text."""
     steps = "".join(f"['{part}']" for part in path.split("."))
@@ -17,8 +38,8 @@ def extract_value(json, path: str) -> Column:
 
 
 def parse_rows(json, schema: str) -> Column:
-    """Typed parse; text that is not JSON gives null."""
-    return F.when(F.try_parse_json(_col(json)).isNotNull(), F.from_json(_col(json), schema))
+    """Typed parse; text that is not JSON gives null. Of a repeated key the last value counts."""
+    return F.when(is_json(json), F.from_json(_col(json), schema))
 
 
 def to_map(json) -> Column:

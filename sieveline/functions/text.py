@@ -87,6 +87,16 @@ def split_lines(c) -> Column:
     return F.split(_col(c), "\n", -1)
 
 
+# What ends a line beside the line feed, by the Unicode rules that Java's \\R follows.
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]"
+
+
+def split_any_lines(c) -> Column:
+    """All lines by any line break, carriage return and line feed together being one; trailing blanks kept. Their numbers are not
+    those of ``split_lines`` where a text holds form feeds, vertical tabs, next-line or separator characters."""
+    return F.split(_col(c), LINE_BREAK, -1)
+
+
 def count_occurrences(c, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     if not needle:

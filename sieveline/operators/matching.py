@@ -23,9 +23,12 @@ _NO_LINES = "array<int>"
 _TAGGED = "array<struct<rule_id:string,line_number:int,found_by:string>>"
 
 
-def explode_lines(files: DataFrame, content: str = "content", keys=KEYS) -> DataFrame:
-    """One row per line: ``line_number`` from 1, trailing blank lines kept. No sort and no shuffle."""
-    lines = T.split_lines(normalize_line_endings(content))
+def explode_lines(files: DataFrame, content: str = "content", keys=KEYS, breaks: str = "any") -> DataFrame:
+    """One row per line: ``line_number`` from 1, trailing blank lines kept. No sort and no shuffle. Lines end at any line break, or
+    with ``breaks="newline"`` at line feeds only, carriage returns being turned into those."""
+    if breaks not in ("any", "newline"):
+        raise ValueError(f"unknown breaks: {breaks}")
+    lines = T.split_any_lines(content) if breaks == "any" else T.split_lines(normalize_line_endings(content))
     return files.select(*keys, F.posexplode(lines).alias("pos", "line")).select(
         *keys, (F.col("pos") + 1).alias("line_number"), "line"
     )
@@ -66,13 +69,15 @@ def _rule_lines(rule: Rule) -> Column:
     return F.when(probe, lines).otherwise(F.array().cast(_NO_LINES))
 
 
-def _staged(files: DataFrame, rules, keys, in_scope, with_facts: bool = False):
+def _staged(files: DataFrame, rules, keys, in_scope, with_facts: bool = False, any_break=()):
     """Views, lower-cased views for the probes, and line arrays, each computed once per text; with_facts, the method facts of
-    ``.java`` texts too, which are read before the other columns are there, so that few columns wait for them."""
+    ``.java`` texts too, which are read before the other columns are there, so that few columns wait for them. The
+    lines of the views in ``any_break`` end at any line break, those of the others at line feeds."""
     rules = [r for r in rules if r.pattern]
     views = sorted({r.view for r in rules} | ({"masked"} if with_facts else set()))
     line_views = sorted({r.view for r in rules if r.scope in ("line", "both")})
     probed = sorted({r.view for r in rules if r.probes})
+    split = lambda v: T.split_any_lines if v in any_break else T.split_lines
     base = files.select(*keys, "content", (F.lit(True) if in_scope is None else in_scope).alias("_scope"))
     viewed = source_views(base, views).drop("_pieces")
     if with_facts:
@@ -81,10 +86,10 @@ def _staged(files: DataFrame, rules, keys, in_scope, with_facts: bool = False):
     staged = viewed.select(
         "*",
         *[F.lower(f"v_{v}").alias(f"low_{v}") for v in probed],
-        *[T.split_lines(f"v_{v}").alias(f"lines_{v}") for v in line_views],
+        *[split(v)(f"v_{v}").alias(f"lines_{v}") for v in line_views],
     )
     low_lines = [v for v in line_views if v in probed]
-    return rules, staged.select("*", *[T.split_lines(f"low_{v}").alias(f"low_lines_{v}") for v in low_lines])
+    return rules, staged.select("*", *[split(v)(f"low_{v}").alias(f"low_lines_{v}") for v in low_lines])
 
 
 def _measures(limits: dict[str, int]) -> Column:
@@ -100,9 +105,9 @@ def _measures(limits: dict[str, int]) -> Column:
     )
 
 
-def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, Column]:
+def _hits(files: DataFrame, rules, keys, in_scope, limits, any_break=()) -> tuple[DataFrame, Column]:
     """The staged texts and the array of (rule_id, line_number, subject, measured) to compute from each."""
-    rules, staged = _staged(files, rules, keys, in_scope, bool(limits))
+    rules, staged = _staged(files, rules, keys, in_scope, bool(limits), any_break)
     nothing = F.array().cast(HITS)
 
     def tagged(rule: Rule) -> Column:
@@ -121,21 +126,22 @@ def _hits(files: DataFrame, rules, keys, in_scope, limits) -> tuple[DataFrame, C
 
 
 def hit_lists(
-    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None
+    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None, any_break=(),
 ) -> DataFrame:
     """One row per text: keys, its line count, and ``hits``, an array of (rule_id, line_number, subject, measured).
     Meant to be written as a table: a plan that goes on to explode ``hits`` should use ``match_rules``."""
-    staged, hits = _hits(files, rules, keys, in_scope, limits)
+    staged, hits = _hits(files, rules, keys, in_scope, limits, any_break)
     return staged.select(*keys, T.line_count("content").alias("lines"), hits.alias("hits"))
 
 
 def match_rules(
-    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None
+    files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, limits: dict[str, int] | None = None, any_break=(),
 ) -> DataFrame:
     """(keys, rule_id, line_number, subject, measured), one row per rule and line, all rules in one pass over the
     texts. ``in_scope`` limits the rules of category SECURITY to some of the texts. With ``limits`` the metric rules
-    are evaluated in the same pass; only their hits carry ``subject`` and ``measured``."""
-    staged, hits = _hits(files, rules, keys, in_scope, limits)
+    are evaluated in the same pass; only their hits carry ``subject`` and ``measured``. Lines of the views in ``any_break`` end at any
+    line break."""
+    staged, hits = _hits(files, rules, keys, in_scope, limits, any_break)
     # The array goes into the generator as an expression. As a column of its own it would make the optimizer infer a
     # filter on its size and push that below the staging, computing every view and every rule several times.
     return staged.select(*keys, F.inline(hits))
@@ -146,9 +152,9 @@ def _single_scope(rules, scope: str):
     return [Rule(**{**r.__dict__, "scope": scope}) for r in rules if r.scope in wanted]
 
 
-def line_pass(files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None) -> DataFrame:
+def line_pass(files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None, any_break=()) -> DataFrame:
     """The line part of the rules only."""
-    return match_rules(files, _single_scope(rules, "line"), keys, in_scope)
+    return match_rules(files, _single_scope(rules, "line"), keys, in_scope, any_break=any_break)
 
 
 def text_pass(files: DataFrame, rules, keys=KEYS, in_scope: Column | None = None) -> DataFrame:

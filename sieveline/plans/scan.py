@@ -19,6 +19,11 @@ def scan_scope(files: DataFrame, excluded_names=()) -> DataFrame:
     return files.where(P.in_scan_scope("path", "content", excluded_names)).withColumn("path", P.normalize_path("path"))
 
 
+def _any_break(profile: str) -> tuple[str, ...]:
+    """Views whose lines end at any line break: taken literally, the security rules number their lines so."""
+    return ("masked",) if profile == "as_coded" else ()
+
+
 def security_hits(files: DataFrame, rules=None, profile: str = "documented", paths_unique: bool = False) -> DataFrame:
     """(job_id, path, rule_id, line_number). Hits are distinct within a text already; the closing dedupe is for
     paths that become equal when normalised and can be left out where that cannot happen (it must be on a stream).
@@ -27,7 +32,7 @@ def security_hits(files: DataFrame, rules=None, profile: str = "documented", pat
     views, so that the text goes through one projection only.
     """
     scoped = files.where(P.path_in_scope("path")).withColumn("path", P.normalize_path("path"))
-    hits = match_rules(scoped, rules or security_rules(profile), in_scope=~P.is_blank("content"))
+    hits = match_rules(scoped, rules or security_rules(profile), in_scope=~P.is_blank("content"), any_break=_any_break(profile))
     hits = hits.drop("subject", "measured")
     return hits if paths_unique else FN.dedupe_findings(hits, FN.HIT_KEY)
 
@@ -73,10 +78,11 @@ def _rule_set(rules, profile: str) -> tuple[Rule, ...]:
     return rules_from_frame(rules) if isinstance(rules, DataFrame) else tuple(rules)
 
 
-def _one_pass(files: DataFrame, matcher, rules: tuple[Rule, ...], limits: dict | None, metrics: bool) -> DataFrame:
+def _one_pass(files: DataFrame, matcher, rules: tuple[Rule, ...], limits: dict | None, metrics: bool, profile: str) -> DataFrame:
     return matcher(
         files.where(F.col("content").isNotNull()), rules,
         in_scope=P.in_scan_scope("path", "content"), limits={**DEFAULT_LIMITS, **(limits or {})} if metrics else None,
+        any_break=_any_break(profile),
     )
 
 
@@ -101,7 +107,7 @@ def file_scans(
     Findings and file statistics both come out of this table. Written once, it spares every later step the texts.
     ``rules``, a sequence of rules or a rule table, takes the place of the built-in ones; ``metrics`` can be left out.
     """
-    return _one_pass(files, hit_lists, _rule_set(rules, profile), limits, metrics)
+    return _one_pass(files, hit_lists, _rule_set(rules, profile), limits, metrics, profile)
 
 
 def findings_of(scans: DataFrame, limits: dict | None = None, paths_unique: bool = False, rules=None) -> DataFrame:
@@ -117,5 +123,5 @@ def all_findings(
     """Security, quality and metric findings of every file, each text read and masked once, plus the findings taken
     from model replies if there are any. ``rules`` and ``metrics`` as in ``file_scans``."""
     chosen = _rule_set(rules, profile)
-    out = _to_findings(_one_pass(files, match_rules, chosen, limits, metrics), chosen, limits, paths_unique)
+    out = _to_findings(_one_pass(files, match_rules, chosen, limits, metrics, profile), chosen, limits, paths_unique)
     return out if reply_findings is None else out.unionByName(reply_findings)
