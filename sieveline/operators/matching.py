@@ -34,12 +34,14 @@ def explode_lines(files: DataFrame, content: str = "content", keys=KEYS, breaks:
     )
 
 
-def source_views(files: DataFrame, views) -> DataFrame:
-    """Add the wanted views of ``content``: ``v_raw``, ``v_no_comments``, ``v_masked``."""
+def source_views(files: DataFrame, views, lexed: Column | None = None) -> DataFrame:
+    """Add the wanted views of ``content``: ``v_raw``, ``v_no_comments``, ``v_masked``. With ``lexed`` the latter two are made only
+    where it holds, and null elsewhere."""
     views = set(views)
     base = files.withColumn("v_raw", F.translate("content", T.MARK, " "))
     if views & {"no_comments", "masked"}:
-        base = base.withColumn("_pieces", T.code_pieces(normalize_line_endings("v_raw")))
+        text = normalize_line_endings("v_raw")
+        base = base.withColumn("_pieces", T.code_pieces(text if lexed is None else F.when(lexed, text)))
         if "no_comments" in views:
             base = base.withColumn("v_no_comments", T.without_comments("_pieces"))
         if "masked" in views:
@@ -79,9 +81,12 @@ def _staged(files: DataFrame, rules, keys, in_scope, with_facts: bool = False, a
     probed = sorted({r.view for r in rules if r.probes})
     split = lambda v: T.split_any_lines if v in any_break else T.split_lines
     base = files.select(*keys, "content", (F.lit(True) if in_scope is None else in_scope).alias("_scope"))
-    viewed = source_views(base, views).drop("_pieces")
+    java = F.col("path").endswith(".java")
+    # where no rule looks at a masked view, only the texts with method facts are masked
+    only_facts = with_facts and all(r.view == "raw" for r in rules)
+    viewed = source_views(base, views, java if only_facts else None).drop("_pieces")
     if with_facts:
-        java = F.col("path").endswith(".java") & may_have_methods(F.col("v_masked"))
+        java = java & may_have_methods(F.col("v_masked"))
         viewed = viewed.withColumn("_facts", method_array(F.when(java, F.col("v_masked")), False))
     staged = viewed.select(
         "*",
