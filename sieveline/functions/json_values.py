@@ -24,6 +24,16 @@ def is_json(json) -> Column:
     return F.try_parse_json(text).isNotNull() | fields | F.coalesce(element, F.lit(False))
 
 
+def is_whole_json(json) -> Column:
+    """Whether a text is one JSON value and nothing after it but white space; otherwise as ``is_json``."""
+    text = F.when(is_json(json), _col(json))
+    # the text as one of two values of an object: what follows its value breaks the object or adds to it. Names hold a hash of the
+    # text, which the text cannot hold itself.
+    name = F.sha2(text, 256)
+    fields = F.from_json(F.concat(F.lit('{"'), name, F.lit('-a":'), text, F.lit(',"'), name, F.lit('-b":1}')), "map<string,string>", _STRICT)
+    return F.coalesce((F.size(fields) == 2) & F.map_contains_key(fields, F.concat(name, F.lit("-b"))), F.lit(False))
+
+
 def parsed(json, schema: str) -> Column:
     """A text as a variant, null if it is no JSON. Where an object repeats a key, the fields of ``schema`` are read, the last value of
     a key winning."""
