@@ -10,11 +10,16 @@ from ..functions import cleaning as CL
 from ..functions.text import mask_source
 
 
-def validation_profile(frame: DataFrame, checks: dict[str, dict[str, Column]]) -> DataFrame:
+def validation_profile(frame: DataFrame, checks: dict[str, dict[str, Column]], weight: str | None = None) -> DataFrame:
     """``checks`` maps a column name to {check name: predicate}. One scan and one row of counters per task; gives
-    (column, check, rows, passes, failures, share)."""
+    (column, check, rows, passes, failures, share). ``weight`` names a column that says for how many rows a row stands."""
     pairs = [(c, n, p) for c, by_name in checks.items() for n, p in by_name.items()]
-    counts = frame.agg(F.count("*").alias("n"), *[F.count_if(p).alias(f"p{i}") for i, (_, _, p) in enumerate(pairs)])
+    if weight is None:
+        total, passes = F.count("*"), F.count_if
+    else:
+        total = F.coalesce(F.sum(weight), F.lit(0))
+        passes = lambda p: F.coalesce(F.sum(F.when(p, F.col(weight))), F.lit(0))
+    counts = frame.agg(total.alias("n"), *[passes(p).alias(f"p{i}") for i, (_, _, p) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col("n").alias("rows"), F.col(f"p{i}").alias("passes"))
         for i, (c, n, _) in enumerate(pairs)
@@ -26,6 +31,13 @@ def validation_profile(frame: DataFrame, checks: dict[str, dict[str, Column]]) -
     )
 
 
+def value_profile(frame: DataFrame, column: str, checks: dict[str, Column]) -> DataFrame:
+    """The validation profile of one column whose values repeat, such as words: equal values are counted first, within the tasks and
+    then over all, and each is checked once."""
+    counted = frame.groupBy(column).agg(F.count("*").alias("_n"))
+    return validation_profile(counted, {column: checks}, "_n")
+
+
 def text_checks(column: str) -> dict[str, Column]:
     return {name: check(column) for name, check in K.TEXT_CHECKS.items()}
 

@@ -1,7 +1,10 @@
 """Whole JSON in the profile, and work that stays even on large tables."""
 
+from pyspark.sql import functions as F
+
 from sieveline.functions import checks as K
 from sieveline.operators import profiles as PR
+from sieveline.sources.partitions import spread
 
 WHOLE = ["8294", ' {"a":1,"a":{"b":2,"b":3}} ', "[1, [2]]\n", '"x"', "null", "-1.5e3", "[]", "{}"]
 NOT_WHOLE = ["8294 and words", '{"a":1} rest', "1,2", '1,"b":2', "1] x [2", '{"a":1},{"a":2}', "1}", "[1]]", '"x" "y"', "x", "", " ", None]
@@ -13,3 +16,20 @@ def test_json_in_a_profile_is_the_whole_text(spark):
     assert {r.t for r in rows if r.ok} == set(WHOLE) and all(r.ok is not None for r in rows)
     profile = {r.check: r.passes for r in PR.validation_profile(texts, {"t": PR.text_checks("t")}).collect()}
     assert profile["json"] == len(WHOLE)
+
+
+def test_a_value_that_repeats_is_checked_once(spark):
+    words = ["a@b.cd", "x", "x", "12", "12", "12", "", None, None, "true", "tru", "-", "+1", "NaN", "http://h"]
+    table = spark.createDataFrame([(w,) for w in words], "w string")
+    each = PR.validation_profile(table, {"w": PR.text_checks("w")}).collect()
+    assert sorted(PR.value_profile(table, "w", PR.text_checks("w")).collect()) == sorted(each)
+    assert {r.check: r.passes for r in each}["json"] == 4
+    empty = PR.value_profile(table.limit(0), "w", PR.text_checks("w")).collect()
+    assert {(r.rows, r.passes, r.share) for r in empty} == {(0, 0, 0.0)}
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(100_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    with_splits = spark.read.parquet(str(tmp_path / "t")).unionByName(*[spark.range(0, 1, 1, 16)])  # many partitions, one of them full
+    sizes = [r["count"] for r in spread(with_splits, task_rows=5_000).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 100_001 and len(sizes) >= 20 and max(sizes) <= 5_200
